@@ -22,8 +22,12 @@ def xy(x, y) -> Column:
 
 
 def geometry(kind, parts: Column) -> Column:
+    """Geometry from its kind and parts.
+
+    The optimizer copies a plain struct into every place that reads one of its fields, and all the
+    work behind the fields with it; behind ``let`` it is computed once."""
     kind = F.lit(kind) if isinstance(kind, str) else kind
-    return F.struct(kind.alias("kind"), parts.alias("parts"))
+    return let(F.struct(kind.alias("kind"), parts.alias("parts")), lambda g: g)
 
 
 def empty() -> Column:

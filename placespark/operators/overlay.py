@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placespark.functions import geom as G
+from placespark.operators.layout import spread
 
 EDGE_DDL = "array<struct<x1:double,y1:double,x2:double,y2:double,d:int>>"
 
@@ -62,7 +63,7 @@ def directed_edges(g: Column) -> Column:
 def edges(df: DataFrame, geom: str = "geom") -> DataFrame:
     """One row per non-horizontal edge of the areas in ``geom``; other columns are kept."""
     rest = [c for c in df.columns if c != geom]
-    return df.select(*rest, F.explode(directed_edges(F.col(geom))).alias("e")).select(*rest, "e.*")
+    return spread(df).select(*rest, F.explode(directed_edges(F.col(geom))).alias("e")).select(*rest, "e.*")
 
 
 def row_of(y: Column, h) -> Column:
@@ -142,32 +143,44 @@ def runs_of(df: DataFrame, group: list[str], h, slots: dict[str, Column], band:
     return sweep(slot_events(found, group, slots), group, list(slots), band)
 
 
+def member_crossings(members: DataFrame, shapes: DataFrame, key: str, h) -> DataFrame:
+    """Crossings of each member of a group, where ``members`` names shapes by ``key``.
+
+    A shape is cut into crossings once, however many groups refer to it."""
+    return members.join(crossings(edges(shapes.select(key, "geom")), h), key)
+
+
 def width() -> Column:
     return F.col("x1") - F.col("x0")
 
 
-def union_areas(df: DataFrame, group: list[str], h: float, band: float | None = None) -> DataFrame:
-    """Area of the union of all geometries of a group."""
-    runs = runs_of(df, group, h, {"all": F.lit(True)}, band)
+def union_areas(found: DataFrame, group: list[str], h: float, band: float | None = None) -> DataFrame:
+    """Area of the union of all geometries of a group, from their crossings."""
+    runs = sweep(slot_events(found, group, {"all": F.lit(True)}), group, ["all"], band)
     return runs.where("n_all > 0").groupBy(*group).agg((F.sum(width()) * h).alias("area"))
 
 
-def intersection_areas(df: DataFrame, group: list[str], h: float, band: float | None = None) -> DataFrame:
-    """Area common to all geometries of a group.
+def intersection_areas(
+    found: DataFrame, counts: DataFrame, group: list[str], h: float, band: float | None = None
+) -> DataFrame:
+    """Area common to all geometries of a group; ``counts`` has their number as ``inputs``.
 
     Cover depths are summed per depth first, so the count of inputs meets one small row per depth."""
-    runs = runs_of(df, group, h, {"all": F.lit(True)}, band)
-    by_depth = runs.where("n_all > 0").groupBy(*group, F.col("n_all").alias("n")).agg((F.sum(width()) * h).alias("area"))
-    counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(by_depth, [*group, "n"], "left").select(
-        *group, F.col("n").alias("inputs"), F.coalesce("area", F.lit(0.0)).alias("area")
+    runs = sweep(slot_events(found, group, {"all": F.lit(True)}), group, ["all"], band)
+    by_depth = (
+        runs.where("n_all > 0")
+        .groupBy(*group, F.col("n_all").alias("inputs"))
+        .agg((F.sum(width()) * h).alias("area"))
+    )
+    return counts.join(by_depth, [*group, "inputs"], "left").select(
+        *group, "inputs", F.coalesce("area", F.lit(0.0)).alias("area")
     )
 
 
-def set_areas(df: DataFrame, group: list[str], h: float, band: float | None = None) -> DataFrame:
-    """Areas of a and b, their overlap, union and difference per group, from rows tagged in column ``side``."""
+def set_areas(found: DataFrame, group: list[str], h: float, band: float | None = None) -> DataFrame:
+    """Areas of a and b, their overlap, union and difference per group, from crossings tagged in ``side``."""
     slots = {"a": F.col("side") == "a", "b": F.col("side") == "b"}
-    runs = runs_of(df, group, h, slots, band)
+    runs = sweep(slot_events(found, group, slots), group, ["a", "b"], band)
     in_a, in_b = F.col("n_a") > 0, F.col("n_b") > 0
 
     def total(condition):
@@ -225,10 +238,19 @@ def span_area(span_rows: DataFrame, group: list[str], h) -> DataFrame:
 
 
 def pair_overlap(
-    df: DataFrame, keys: list[str], a: str, b: str, payload: list[str] | None = None, rows: int = 128
+    df: DataFrame,
+    keys: list[str],
+    a: str,
+    b: str,
+    payload: list[str] | None = None,
+    rows: int = 128,
+    by: list[str] | None = None,
 ) -> DataFrame:
-    """Overlap area of columns a and b, one output row per input row; ``keys`` must be unique."""
+    """Overlap area of columns a and b, one output row per input row; ``keys`` must be unique.
+
+    ``by`` names the keys to shuffle on, when a later step groups on fewer of them."""
     payload = payload or []
+    by = by or keys
     tagged = F.concat(
         F.transform(directed_edges(F.col(a)), lambda e: e.withField("side", F.lit(0))),
         F.transform(directed_edges(F.col(b)), lambda e: e.withField("side", F.lit(1))),
@@ -278,7 +300,7 @@ def pair_overlap(
         ).alias("x"),
         F.when(F.col("_e.side") == 0, F.col("_e.d")).otherwise(0).alias("da"),
         F.when(F.col("_e.side") == 1, F.col("_e.d")).otherwise(0).alias("db"),
-    ).repartition(*keys)
+    ).repartition(*by)
     line = Window.partitionBy(*keys, "slab").orderBy("x")
     runs = events.withColumns(
         {"na": F.sum("da").over(line), "nb": F.sum("db").over(line), "next": F.lead("x").over(line)}
@@ -372,7 +394,7 @@ def outline_segments(df: DataFrame, geom: str = "geom") -> DataFrame:
             lambda ln: F.when(F.size(ln) > 1, F.transform(G.segments(ln), flat)).otherwise(F.transform(ln, dot)),
         )
     )
-    return df.select(*rest, F.explode(found).alias("s")).select(*rest, "s.*")
+    return spread(df).select(*rest, F.explode(found).alias("s")).select(*rest, "s.*")
 
 
 def buffer_runs(df: DataFrame, group: list[str], h, radius: Column) -> DataFrame:

@@ -8,6 +8,7 @@ from placespark import fixtures as X
 from placespark.functions import geom as G
 from placespark.functions import hull as H
 from placespark.operators import overlay as O
+from placespark.operators.layout import spread
 from placespark.plans.catalog import query, rounded
 from placespark.sources.tables import table
 
@@ -125,8 +126,8 @@ def geom_envelope(spark, d):
 @query(
     "oriented_envelope_area",
     SHAPES + "SELECT shape_id, " + _r(
-        "CASE form WHEN 3 THEN 0 WHEN 1 THEN least(w * h, 2 * w * h * w * h / (w * w + h * h))"
-        " WHEN 2 THEN least(w * h, (w * h) * 9 / 4 * (w * h) / (w * w + h * h)) ELSE w * h END", "area"
+        "CASE form WHEN 3 THEN 0 WHEN 1 THEN w * h * greatest(w * w, h * h) / (w * w + h * h)"
+        " ELSE w * h END", "area"
     ) + " FROM shapes",
 )
 def oriented_envelope_area(spark, d):
@@ -179,12 +180,12 @@ def geom_numpoints(spark, d):
 def _shape_place_pairs(spark, d):
     """Distinct (shape, place) pairs with the shape's geometry and the middle of the place."""
     middle = X.places(spark, d).select("place_id", ((F.col("xmin") + F.col("xmax")) / 2).alias("px"), ((F.col("ymin") + F.col("ymax")) / 2).alias("py"))
-    return X.pairs(spark, d).join(middle, "place_id").join(X.shapes(spark, d), "shape_id")
+    return spread(X.pairs(spark, d)).join(middle, "place_id").join(X.shapes(spark, d), "shape_id")
 
 
 def _gold_place_pairs(spark, d):
     return (
-        X.links(spark, d)
+        spread(X.links(spark, d), "entity_id")
         .join(X.places(spark, d), "place_id")
         .join(X.entities(spark, d), "entity_id")
         .withColumns({"gold": X.gold_box(), "place": G.box(F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax"))})
@@ -436,7 +437,7 @@ _LINK_PLACES = X.with_sql("entities", "places", "links")[:-1] + ", placed AS (SE
 
 
 def _entity_places(spark, d):
-    return X.links(spark, d).join(X.place_shapes(spark, d), "place_id").select("entity_id", "geom")
+    return O.member_crossings(X.links(spark, d), X.place_shapes(spark, d), "place_id", H_ROW)
 
 
 @query(
@@ -446,7 +447,7 @@ def _entity_places(spark, d):
 )
 def union_area(spark, d):
     """Area of the union of the places an entity mentions."""
-    areas = O.union_areas(_entity_places(spark, d), ["entity_id"], H_ROW, band=64.0)
+    areas = O.union_areas(_entity_places(spark, d), ["entity_id"], H_ROW)
     return areas.select("entity_id", rounded(F.col("area")).alias("area"))
 
 
@@ -460,7 +461,8 @@ def union_area(spark, d):
 )
 def intersection_area(spark, d):
     """Area common to all places an entity mentions."""
-    areas = O.intersection_areas(_entity_places(spark, d), ["entity_id"], H_ROW, band=64.0)
+    counts = X.links(spark, d).groupBy("entity_id").agg(F.count(F.lit(1)).alias("inputs"))
+    areas = O.intersection_areas(_entity_places(spark, d), counts, ["entity_id"], H_ROW)
     return areas.select("entity_id", "inputs", rounded(F.col("area")).alias("area"))
 
 
@@ -475,8 +477,9 @@ def intersection_area(spark, d):
 def difference_area(spark, d):
     """Gold area without the places the entity mentions; several subtracted parts all count."""
     gold = X.entities(spark, d).select("entity_id", F.lit("a").alias("side"), X.gold_box().alias("geom"))
-    other = _entity_places(spark, d).select("entity_id", F.lit("b").alias("side"), "geom")
-    areas = O.set_areas(gold.unionByName(other), ["entity_id"], H_ROW)
+    other = _entity_places(spark, d).drop("place_id").withColumn("side", F.lit("b"))
+    found = O.crossings(O.edges(gold), H_ROW).unionByName(other)
+    areas = O.set_areas(found, ["entity_id"], H_ROW)
     return areas.where("area_a > 0").select(
         "entity_id", *[rounded(F.col(c)).alias(c) for c in ("area_a", "overlap", "difference")]
     )
@@ -497,9 +500,8 @@ _GOLD_SPANS = (
 )
 def span_interval_join(spark, d):
     gold = X.entities(spark, d).select("entity_id", X.gold_box().alias("geom"))
-    placed = X.links(spark, d).join(X.place_shapes(spark, d), "place_id").select("entity_id", "place_id", "geom")
     a = O.spans(gold, ["entity_id"], H_ROW)
-    b = O.spans(placed, ["entity_id", "place_id"], H_ROW)
+    b = X.links(spark, d).join(O.spans(X.place_shapes(spark, d).select("place_id", "geom"), ["place_id"], H_ROW), "place_id")
     return O.span_interval_join(a, b, ["entity_id"]).select("entity_id", "place_id", "row", "x0", "x1")
 
 
