@@ -8,8 +8,8 @@ are exact in doubles.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from placespark.functions import exprs as F
 from placespark.functions import geom as G
 from placespark.sources.tables import table
 

@@ -7,18 +7,14 @@ takes and returns columns, stays in the JVM and needs no shuffle.
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
+from placespark.functions import exprs as F
+from placespark.functions.exprs import bind, let
 from placespark.schema import AREA_KINDS, GEOMETRY_DDL, LINE_KINDS, POINT_KINDS
 
 
-def let(value: Column, body) -> Column:
-    """Bind ``value`` once and use it many times inside ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def xy(x, y) -> Column:
-    return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    return F.struct(F.lit(x).cast("double").alias("x"), F.lit(y).cast("double").alias("y"))
 
 
 def geometry(kind, parts: Column) -> Column:
@@ -43,8 +39,12 @@ def make_line(points: Column) -> Column:
 
 
 def close_ring(points: Column) -> Column:
-    first, last = F.element_at(points, 1), F.element_at(points, -1)
-    return F.when(first == last, points).otherwise(F.concat(points, F.array(first)))
+
+    def close(p):
+        first, last = F.element_at(p, 1), F.element_at(p, -1)
+        return F.when(first == last, p).otherwise(F.concat(p, F.array(first)))
+
+    return bind(points, close)
 
 
 def make_polygon(points: Column) -> Column:
@@ -114,15 +114,16 @@ def bounds(g: Column) -> Column:
 
 def segments(line: Column) -> Column:
     """Consecutive point pairs of a line as struct(a, b)."""
-    n = F.size(line)
-    return F.when(
-        n > 1,
-        F.zip_with(
-            F.slice(line, F.lit(1), n - 1),
-            F.slice(line, F.lit(2), n - 1),
-            lambda a, b: F.struct(a.alias("a"), b.alias("b")),
-        ),
-    ).otherwise(F.array().cast("array<struct<a:struct<x:double,y:double>,b:struct<x:double,y:double>>>"))
+
+
+    def pairs(p):
+        n = F.size(p)
+        return F.when(
+            n > 1,
+            F.zip_with(F.slice(p, 1, n - 1), F.slice(p, 2, n - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
+        ).otherwise(F.array().cast("array<struct<a:struct<x:double,y:double>,b:struct<x:double,y:double>>>"))
+
+    return bind(line, pairs)
 
 
 def _sum(items: Column, value) -> Column:

@@ -5,9 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import functions as PF
 from pyspark.sql import types as T
 
+from placespark.functions import exprs as F
 from placespark.functions import geom as G
 
 
@@ -47,7 +48,7 @@ def _tightest_box(p: np.ndarray) -> list[float]:
     return [float(c) for a, b in corners for c in a * along[k] + b * across[k]]
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
+@PF.pandas_udf(T.ArrayType(T.DoubleType()))
 def _oriented_corners(xs: pd.Series, ys: pd.Series) -> pd.Series:
     return pd.Series([_tightest_box(np.column_stack([x, y])) for x, y in zip(xs, ys)])
 
@@ -63,10 +64,13 @@ def _ys(g: Column) -> Column:
 def oriented_envelope(g: Column) -> Column:
     """Rectangle of least area around a geometry, at any angle."""
     corners = _oriented_corners(_xs(g), _ys(g))
-    return G.let(
-        corners,
-        lambda c: G.make_polygon(F.array(*[G.xy(F.get(c, F.lit(i)), F.get(c, F.lit(i + 1))) for i in (0, 2, 4, 6)])),
-    )
+    return PF.element_at(PF.transform(PF.array(corners), lambda c: _rectangle(c)), 1)
+
+
+def _rectangle(c: Column) -> Column:
+    """Polygon of four corners given as eight numbers."""
+    ring = [PF.struct(PF.get(c, PF.lit(i)).alias("x"), PF.get(c, PF.lit(i + 1)).alias("y")) for i in (0, 2, 4, 6, 0)]
+    return PF.struct(PF.lit("Polygon").alias("kind"), PF.array(PF.array(PF.array(*ring))).alias("parts"))
 
 
 def _least_circle(p: np.ndarray) -> list[float]:
@@ -98,20 +102,23 @@ def _least_circle(p: np.ndarray) -> list[float]:
     return [float(best[0][0]), float(best[0][1]), best[1]]
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
+@PF.pandas_udf(T.ArrayType(T.DoubleType()))
 def _circle(xs: pd.Series, ys: pd.Series) -> pd.Series:
     return pd.Series([_least_circle(np.column_stack([x, y])) for x, y in zip(xs, ys)])
 
 
 def bounding_circle(g: Column) -> Column:
     """struct(cx, cy, r) of the smallest circle around all points; closed form for a two-point line."""
-    general = G.let(
-        _circle(_xs(g), _ys(g)),
-        lambda c: F.struct(
-            F.get(c, F.lit(0)).alias("cx"), F.get(c, F.lit(1)).alias("cy"), F.get(c, F.lit(2)).alias("r")
+    general = PF.element_at(
+        PF.transform(
+            PF.array(_circle(_xs(g), _ys(g))),
+            lambda c: PF.struct(
+                PF.get(c, PF.lit(0)).alias("cx"), PF.get(c, PF.lit(1)).alias("cy"), PF.get(c, PF.lit(2)).alias("r")
+            ),
         ),
+        1,
     )
-    return F.when(G.num_points(g) == 2, G.bounding_circle_of_diagonal(g)).otherwise(general)
+    return PF.when(G.num_points(g) == 2, G.bounding_circle_of_diagonal(g)).otherwise(general)
 
 
 # ---- distances -------------------------------------------------------------------------------
@@ -141,7 +148,7 @@ def _edges_cross(a: Column, b: Column) -> Column:
 
 
 def _boxes_meet(a: Column, b: Column) -> Column:
-    return G.let(
+    return F.let(
         F.struct(G.bounds(a).alias("a"), G.bounds(b).alias("b")),
         lambda s: (s["a"]["xmin"] <= s["b"]["xmax"])
         & (s["b"]["xmin"] <= s["a"]["xmax"])
@@ -200,11 +207,11 @@ def simplify_grid(g: Column, segments: int = 2) -> Column:
             ),
         )
     )
-    return G.let(
+    return F.let(
         G.bounds(g),
         lambda b: F.transform(
             cells,
-            lambda c: G.let(
+            lambda c: F.let(
                 G.xy(
                     b["xmin"] + (b["xmax"] - b["xmin"]) * c["i"] / segments,
                     b["ymin"] + (b["ymax"] - b["ymin"]) * c["j"] / segments,

@@ -15,8 +15,8 @@ Two plans:
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
 
+from placespark.functions import exprs as F
 from placespark.functions import geom as G
 from placespark.operators.layout import spread
 
@@ -43,7 +43,7 @@ def directed_edges(g: Column) -> Column:
         )
 
     def let_sign(ring, sign, body):
-        return G.let(F.when(G.signed_area(ring) < 0, -sign).otherwise(sign), body)
+        return F.let(F.when(G.signed_area(ring) < 0, -sign).otherwise(sign), body)
 
     rings = F.flatten(
         F.transform(
@@ -237,6 +237,10 @@ def span_area(span_rows: DataFrame, group: list[str], h) -> DataFrame:
 # ---- exact overlap of two geometries per row -------------------------------------------------
 
 
+def _with_side(e: Column, side: int) -> Column:
+    return F.struct(*[e[c].alias(c) for c in ("x1", "y1", "x2", "y2", "d")], F.lit(side).alias("side"))
+
+
 def pair_overlap(
     df: DataFrame,
     keys: list[str],
@@ -252,8 +256,8 @@ def pair_overlap(
     payload = payload or []
     by = by or keys
     tagged = F.concat(
-        F.transform(directed_edges(F.col(a)), lambda e: e.withField("side", F.lit(0))),
-        F.transform(directed_edges(F.col(b)), lambda e: e.withField("side", F.lit(1))),
+        F.transform(directed_edges(F.col(a)), lambda e: _with_side(e, 0)),
+        F.transform(directed_edges(F.col(b)), lambda e: _with_side(e, 1)),
     )
     prepared = (
         df.withColumns({"_ba": G.bounds(F.col(a)), "_bb": G.bounds(F.col(b)), "_edges": tagged})

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from placespark import fixtures as X
+from placespark.functions import exprs as F
 from placespark.functions import geom as G
 from placespark.functions import hull as H
 from placespark.operators import overlay as O
@@ -85,7 +85,7 @@ def geom_centrality(spark, d):
     return X.shapes(spark, d).select(
         "shape_id",
         "form",
-        rounded(G.let(centre, lambda c: G.distance_points(c, G.closest_point(outline, c)))).alias("moved"),
+        rounded(F.let(centre, lambda c: G.distance_points(c, G.closest_point(outline, c)))).alias("moved"),
     )
 
 
@@ -131,7 +131,8 @@ def geom_envelope(spark, d):
     ) + " FROM shapes",
 )
 def oriented_envelope_area(spark, d):
-    return X.shapes(spark, d).select("shape_id", rounded(G.area(H.oriented_envelope(GEOM))).alias("area"))
+    boxes = X.shapes(spark, d).select("shape_id", H.oriented_envelope(GEOM).alias("e"))
+    return boxes.select("shape_id", rounded(G.area(F.col("e"))).alias("area"))
 
 
 @query(

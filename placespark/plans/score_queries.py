@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from placespark import fixtures as X
+from placespark.functions import exprs as F
 from placespark.functions import geom as G
 from placespark.operators import score as S
 from placespark.plans.catalog import query, rounded
