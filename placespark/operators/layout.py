@@ -52,3 +52,22 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salts: int =
 
 def cell_of(value: Column, size: float) -> Column:
     return F.floor(value / size)
+
+
+def running_total(df: DataFrame, keys: list[str], order: str, value: str, bucket: int) -> DataFrame:
+    """Running sum of ``value`` along ``order`` within keys, as column ``total``.
+
+    Sums are taken inside buckets of ``order`` and over the buckets' sums, so the rows of one key
+    are dealt over many tasks."""
+    from pyspark.sql import Window
+
+    cut = df.withColumn("_bucket", F.floor(F.col(order) / bucket))
+    sums = cut.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*keys, "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    along = Window.partitionBy(*keys, "_bucket").orderBy(order)
+    return (
+        cut.join(offsets, [*keys, "_bucket"])
+        .withColumn("total", F.sum(value).over(along) + F.col("_before"))
+        .drop("_bucket", "_before")
+    )
