@@ -223,16 +223,24 @@ def function(name: str):
 
 
 for _name in (
-    "abs acos array array_compact array_contains array_distinct array_join array_max array_min array_position array_sort"
+    "abs acos array array_compact array_contains array_distinct array_max array_min array_position array_sort"
     " asin atan atan2 cbrt ceil coalesce concat concat_ws contains cos degrees element_at exp flatten floor get greatest hypot"
     " isnull least length ln log10 lower nullif pmod power radians regexp_count repeat reverse round sequence shiftleft"
-    " sign sin size slice sort_array split sqrt startswith substring tan translate trim try_element_at upper"
+    " sign sin size slice sort_array sqrt startswith substring tan translate trim try_element_at upper"
 ).split():
     globals()[_name] = function(_name)
 log = function("ln")
 pow = function("power")
 
 
+def split(value, pattern) -> Sql:
+    return Sql(f"split({_text(value)}, {literal(pattern)})")
+
+
+def array_join(items, separator) -> Sql:
+    return Sql(f"array_join({_text(items)}, {literal(separator)})")
+
+
 def regexp_replace(value, pattern, replacement) -> Sql:
     return Sql(f"regexp_replace({_text(value)}, {literal(pattern)}, {literal(replacement)})")
 

@@ -152,7 +152,7 @@ def area(g: Column) -> Column:
     """Outer rings minus holes; 0 for points and lines."""
     return F.when(
         is_area(g), _sum(g["parts"], lambda part: _shell_minus_holes(part, lambda r: F.abs(signed_area(r))))
-    ).otherwise(F.lit(0.0))
+    ).when(g.isNotNull(), F.lit(0.0))
 
 
 def segment_length(s: Column) -> Column:
