@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import sys
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of a plan's output; no job is run."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Catalyst's estimate of the size of a plan's output; no job is run.
+
+    Chains of joins are estimated by products, which may be too long to pass as a number."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    except ValueError:
+        return sys.maxsize
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -59,8 +66,6 @@ def running_total(df: DataFrame, keys: list[str], order: str, value: str, bucket
 
     Sums are taken inside buckets of ``order`` and over the buckets' sums, so the rows of one key
     are dealt over many tasks."""
-    from pyspark.sql import Window
-
     cut = df.withColumn("_bucket", F.floor(F.col(order) / bucket))
     sums = cut.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame, Window
 
 from placespark.functions import exprs as F
 from placespark.functions import geom as G
-from placespark.operators.layout import spread
 
 EDGE_DDL = "array<struct<x1:double,y1:double,x2:double,y2:double,d:int>>"
 
@@ -63,7 +62,7 @@ def directed_edges(g: Column) -> Column:
 def edges(df: DataFrame, geom: str = "geom") -> DataFrame:
     """One row per non-horizontal edge of the areas in ``geom``; other columns are kept."""
     rest = [c for c in df.columns if c != geom]
-    return spread(df).select(*rest, F.explode(directed_edges(F.col(geom))).alias("e")).select(*rest, "e.*")
+    return df.select(*rest, F.explode(directed_edges(F.col(geom))).alias("e")).select(*rest, "e.*")
 
 
 def row_of(y: Column, h) -> Column:
@@ -398,7 +397,7 @@ def outline_segments(df: DataFrame, geom: str = "geom") -> DataFrame:
             lambda ln: F.when(F.size(ln) > 1, F.transform(G.segments(ln), flat)).otherwise(F.transform(ln, dot)),
         )
     )
-    return spread(df).select(*rest, F.explode(found).alias("s")).select(*rest, "s.*")
+    return df.select(*rest, F.explode(found).alias("s")).select(*rest, "s.*")
 
 
 def buffer_runs(df: DataFrame, group: list[str], h, radius: Column) -> DataFrame:
@@ -421,10 +420,13 @@ def buffer_areas(df: DataFrame, group: list[str], h: float, radius: Column) -> D
 
 
 def grow_spans(span_rows: DataFrame, h: Column, radius: Column) -> DataFrame:
-    """Each span as the spans of everything within ``radius`` of its row's midline piece."""
+    """Spans of everything within ``radius`` of each span, a span being a rectangle one row high."""
     rest = [c for c in span_rows.columns if c not in ("row", "x0", "x1")]
-    mid = (F.col("row") + 0.5) * h
-    pieces = span_rows.select(
-        *rest, F.col("x0").alias("x1"), mid.alias("y1"), F.col("x1").alias("x2"), mid.alias("y2")
+    placed = span_rows.withColumns({"_r": radius, "_h": h})
+    reach = F.ceil(F.col("_r") / F.col("_h")).cast("bigint")
+    steps = placed.where("_r > 0").withColumn("_k", F.explode(F.sequence(-reach, reach)))
+    away = F.greatest(F.abs("_k") - 0.5, F.lit(0.0)) * F.col("_h")
+    wide = steps.withColumn("_w", half_chord(away, F.col("_r"))).where("_w IS NOT NULL")
+    return wide.select(
+        *rest, (F.col("row") + F.col("_k")).alias("row"), (F.col("x0") - F.col("_w")).alias("x0"), (F.col("x1") + F.col("_w")).alias("x1")
     )
-    return capsule_spans(pieces, h, radius)

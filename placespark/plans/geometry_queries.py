@@ -477,7 +477,7 @@ def intersection_area(spark, d):
 )
 def difference_area(spark, d):
     """Gold area without the places the entity mentions; several subtracted parts all count."""
-    gold = X.entities(spark, d).select("entity_id", F.lit("a").alias("side"), X.gold_box().alias("geom"))
+    gold = spread(X.entities(spark, d), "entity_id").select("entity_id", F.lit("a").alias("side"), X.gold_box().alias("geom"))
     other = _entity_places(spark, d).drop("place_id").withColumn("side", F.lit("b"))
     found = O.crossings(O.edges(gold), H_ROW).unionByName(other)
     areas = O.set_areas(found, ["entity_id"], H_ROW)
@@ -500,7 +500,7 @@ _GOLD_SPANS = (
     " WHERE x0 < bx1 AND bx0 < x1",
 )
 def span_interval_join(spark, d):
-    gold = X.entities(spark, d).select("entity_id", X.gold_box().alias("geom"))
+    gold = spread(X.entities(spark, d), "entity_id").select("entity_id", X.gold_box().alias("geom"))
     a = O.spans(gold, ["entity_id"], H_ROW)
     b = X.links(spark, d).join(O.spans(X.place_shapes(spark, d).select("place_id", "geom"), ["place_id"], H_ROW), "place_id")
     return O.span_interval_join(a, b, ["entity_id"]).select("entity_id", "place_id", "row", "x0", "x1")
@@ -533,7 +533,7 @@ def collect_parts(spark, d):
 )
 def buffer_area(spark, d):
     """Area within 0.25 of a shape: its own, its border times 0.25 and quarter discs at outer corners."""
-    grown = O.buffer_areas(X.shapes(spark, d).select("shape_id", "form", "geom"), ["shape_id", "form"], 0.03125, F.lit(0.25))
+    grown = O.buffer_areas(spread(X.shapes(spark, d).select("shape_id", "form", "geom"), "shape_id"), ["shape_id", "form"], 0.03125, F.lit(0.25))
     return grown.select("shape_id", "form", rounded(F.col("area"), 1).alias("area"))
 
 

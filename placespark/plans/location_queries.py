@@ -18,7 +18,7 @@ _BOX = "(xmax - xmin) * (ymax - ymin)"
 
 
 def _leaves(spark, d, rows=32):
-    return L.leaf(X.place_shapes(spark, d).select(F.col("place_id").alias("key"), "geom"), rows)
+    return L.cut_lineage(L.leaf(X.place_shapes(spark, d).select(F.col("place_id").alias("key"), "geom"), rows))
 
 
 def _cardinals(spark, d):
@@ -34,11 +34,18 @@ def _neighbours(spark, d):
     first = X.place_shapes(spark, d).select(F.col("place_id").alias("key"), "geom")
     heights = first.select("key", L.row_height(G.bounds(E.col("geom")), 32).alias("h"))
     second = X.place_shapes(spark, d).select((F.col("place_id") - 1).alias("key"), "geom")
-    return L.leaf_at(first.join(heights, "key")), L.leaf_at(second.join(heights, "key"))
+    return L.cut_lineage(L.leaf_at(first.join(heights, "key"))), L.cut_lineage(L.leaf_at(second.join(heights, "key")))
 
 
-_PAIR = X.with_sql("places")[:-1] + ", pairs2 AS (SELECT a.place_id, a.xmin AS gxmin, a.ymin AS gymin, a.xmax AS gxmax, a.ymax AS gymax, b.xmin, b.ymin, b.xmax, b.ymax FROM places a JOIN places b ON b.place_id = a.place_id + 1)"
-_META = "greatest(0, least(gxmax, xmax) - greatest(gxmin, xmin)) * greatest(0, least(gymax, ymax) - greatest(gymin, ymin))"
+def _shifted(spark, d):
+    """Each place and a copy of it half a degree east and a quarter north, on common rows."""
+    first = X.place_shapes(spark, d).select(F.col("place_id").alias("key"), "geom")
+    sized = first.withColumn("h", L.row_height(G.bounds(E.col("geom")), 32))
+    moved = sized.withColumn("geom", G.translate(E.col("geom"), 0.5, 0.25))
+    return L.leaf_at(sized), L.leaf_at(moved)
+
+
+_META = "greatest(0, xmax - xmin - 5e-1) * greatest(0, ymax - ymin - 25e-2)"
 
 
 @query("loc_toponym", _PLACES + f"SELECT place_id, {_BOX} AS area FROM places")
@@ -102,7 +109,7 @@ def loc_adjacent(spark, d):
     _PLACES + "SELECT place_id, round(2 * (xmax - xmin + ymax - ymin) * 0.1 + 16 * 0.01 * sin(pi() / 16), 1) + 0 AS area FROM places",
 )
 def loc_proximate(spark, d):
-    return _areas(L.proximate(_leaves(spark, d, 256)), 1)
+    return _areas(L.proximate(_leaves(spark, d, 64)), 1)
 
 
 @query("loc_distance")
@@ -111,14 +118,14 @@ def loc_distance(spark, d):
     return _areas(L.at_distance(_leaves(spark, d), ten), 4)
 
 
-@query("loc_union", _PAIR + f" SELECT place_id, (gxmax - gxmin) * (gymax - gymin) + {_BOX} AS area FROM pairs2 UNION ALL SELECT place_id, {_BOX} FROM places WHERE place_id = (SELECT max(place_id) FROM places)")
+@query("loc_union", _PLACES + f"SELECT place_id, 2 * {_BOX} AS area FROM places")
 def loc_union(spark, d):
-    return _areas(L.union(*_neighbours(spark, d)))
+    return _areas(L.union(*_shifted(spark, d)))
 
 
-@query("loc_intersection", _PAIR + f" SELECT place_id, {_META} AS area FROM pairs2 WHERE {_META} > 0")
+@query("loc_intersection", _PLACES + f"SELECT place_id, {_META} AS area FROM places WHERE {_META} > 0")
 def loc_intersection(spark, d):
-    return _areas(L.intersection(*_neighbours(spark, d)))
+    return _areas(L.intersection(*_shifted(spark, d)))
 
 
 @query("loc_between")

@@ -238,11 +238,11 @@ _B = f"(6378137e0 * (1 - {_FL}))"
 
 
 def _inverse_sql(source: str, keys: str) -> str:
-    """Distance of (ax, ay) to (bx, by) of a relation, with the rounds of the iteration as nested queries."""
+    """Distance of (ax, ay) to (qx, qy) of a relation, with the rounds of the iteration as nested queries."""
     parts = (
         "sqrt((c2 * sin(lam)) ** 2 + (c1 * s2 - s1 * c2 * cos(lam)) ** 2) AS ss, s1 * s2 + c1 * c2 * cos(lam) AS cs"
     )
-    q = f"SELECT {keys}, (ax = bx AND ay = by) AS same, radians(bx - ax) AS l, radians(bx - ax) AS lam, sin(u1) AS s1, cos(u1) AS c1, sin(u2) AS s2, cos(u2) AS c2 FROM (SELECT *, atan(tan(radians(ay)) * (1 - {_FL})) AS u1, atan(tan(radians(by)) * (1 - {_FL})) AS u2 FROM {source})"
+    q = f"SELECT {keys}, (ax = qx AND ay = qy) AS same, radians(qx - ax) AS l, radians(qx - ax) AS lam, sin(u1) AS s1, cos(u1) AS c1, sin(u2) AS s2, cos(u2) AS c2 FROM (SELECT *, atan(tan(radians(ay)) * (1 - {_FL})) AS u1, atan(tan(radians(qy)) * (1 - {_FL})) AS u2 FROM {source})"
     base = f"{keys}, same, l, s1, c1, s2, c2"
     for k in range(D.ROUNDS + 1):
         q = f"SELECT {base}, lam, ss, cs, sa, 1 - sa * sa AS c2a, coalesce(cs - 2 * s1 * s2 / nullif(1 - sa * sa, 0), 0) AS c2m FROM (SELECT *, c1 * c2 * sin(lam) / nullif(ss, 0) AS sa FROM (SELECT *, {parts} FROM ({q})))"
@@ -254,12 +254,12 @@ def _inverse_sql(source: str, keys: str) -> str:
     )
 
 
-@query("geodesic_distance", _BOXES[:-1] + f", ends AS (SELECT entity_id, place_id, (gxmin + gxmax) / 2 AS ax, (gymin + gymax) / 2 AS ay, (xmin + xmax) / 2 AS bx, (ymin + ymax) / 2 AS by FROM boxes), found AS ({_inverse_sql('ends', 'entity_id, place_id')}) SELECT entity_id, place_id, round(metres, 2) + 0 AS metres FROM found")
+@query("geodesic_distance", _BOXES[:-1] + f", ends AS (SELECT entity_id, place_id, (gxmin + gxmax) / 2 AS ax, (gymin + gymax) / 2 AS ay, (xmin + xmax) / 2 AS qx, (ymin + ymax) / 2 AS qy FROM boxes), found AS ({_inverse_sql('ends', 'entity_id, place_id')}) SELECT entity_id, place_id, round(metres, 2) + 0 AS metres FROM found")
 def geodesic_distance(spark, d):
     return _gold_place_pairs(spark, d).select("entity_id", "place_id", rounded(D.geodesic_distance(_middle("g"), _middle("")), 2).alias("metres"))
 
 
-_DIAGONALS = f"corners2 AS (SELECT shape_id, form, w, h, x0 AS ax, y0 AS ay, x0 + w AS bx, y0 + h AS by FROM shapes), found AS ({_inverse_sql('corners2', 'shape_id')})"
+_DIAGONALS = f"corners2 AS (SELECT shape_id, form, w, h, x0 AS ax, y0 AS ay, x0 + w AS qx, y0 + h AS qy FROM shapes), found AS ({_inverse_sql('corners2', 'shape_id')})"
 
 
 @query("geom_diagonal", X.with_sql("shapes")[:-1] + f", {_DIAGONALS} SELECT shape_id, round(metres, 2) + 0 AS metres FROM found")
@@ -308,9 +308,9 @@ _T = "least(coalesce(({x1} - {x0}) / 2 / nullif(abs(dy), 0), 1e18), coalesce(({y
 @query(
     "between_polygon",
     _BOXES[:-1] + f", ways AS (SELECT *, {_DX} AS dx, {_DY} AS dy, sqrt({_DX} * {_DX} + {_DY} * {_DY}) AS len FROM boxes)"
-    f" SELECT entity_id, place_id, round(CASE WHEN len > 0 THEN ({_T.format(x0='gxmin', x1='gxmax', y0='gymin', y1='gymax')} + {_T.format(x0='xmin', x1='xmax', y0='ymin', y1='ymax')}) * len END, 6) + 0 AS area FROM ways",
+    f" SELECT entity_id, place_id, round(CASE WHEN len > 0 THEN ({_T.format(x0='gxmin', x1='gxmax', y0='gymin', y1='gymax')} + {_T.format(x0='xmin', x1='xmax', y0='ymin', y1='ymax')}) * len END, 10) + 0 AS area FROM ways",
 )
 def between_polygon(spark, d):
     """Area between an entity's gold box and a place."""
     ring = D.between(E.col("gold"), E.col("place"))
-    return _gold_place_pairs(spark, d).select("entity_id", "place_id", ring.alias("g")).select("entity_id", "place_id", rounded(G.area(E.col("g"))).alias("area"))
+    return _gold_place_pairs(spark, d).select("entity_id", "place_id", ring.alias("g")).select("entity_id", "place_id", rounded(G.area(E.col("g")), 10).alias("area"))
