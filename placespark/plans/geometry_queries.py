@@ -4,9 +4,11 @@ from __future__ import annotations
 
 
 from placespark import fixtures as X
+from placespark.functions import exprs as E
 from placespark.functions import exprs as F
 from placespark.functions import geom as G
 from placespark.functions import hull as H
+from placespark.functions import relate
 from placespark.operators import overlay as O
 from placespark.operators.layout import spread
 from placespark.plans.catalog import query, rounded
@@ -547,3 +549,25 @@ def ring_is_simple(spark, d):
     crossed = G.make_polygon(F.array(G.xy(x0, y0), G.xy(x0 + w, y0 + h), G.xy(x0 + w, y0), G.xy(x0, y0 + h)))
     rings = X.shapes(spark, d).withColumn("geom", F.when(F.col("form") == 1, crossed).otherwise(GEOM))
     return H.simple_rings(rings.select("shape_id", "geom"), "shape_id", 0.5)
+
+
+_OVER = "(least(gxmax, xmax) > greatest(gxmin, xmin) AND least(gymax, ymax) > greatest(gymin, ymin))"
+_NEAR = "(least(gxmax, xmax) >= greatest(gxmin, xmin) AND least(gymax, ymax) >= greatest(gymin, ymin))"
+_A_IN_B = "(gxmin >= xmin AND gxmax <= xmax AND gymin >= ymin AND gymax <= ymax)"
+_B_IN_A = "(xmin >= gxmin AND xmax <= gxmax AND ymin >= gymin AND ymax <= gymax)"
+_A_EDGE_IN_B = "(gxmin > xmin AND gxmin < xmax OR gxmax > xmin AND gxmax < xmax OR gymin > ymin AND gymin < ymax OR gymax > ymin AND gymax < ymax)"
+_B_EDGE_IN_A = "(xmin > gxmin AND xmin < gxmax OR xmax > gxmin AND xmax < gxmax OR ymin > gymin AND ymin < gymax OR ymax > gymin AND ymax < gymax)"
+_SAME_SIDE = "(gxmin = xmin OR gxmax = xmax OR gymin = ymin OR gymax = ymax)"
+_STRICT = "(gxmin > xmin AND gxmax < xmax AND gymin > ymin AND gymax < ymax OR xmin > gxmin AND xmax < gxmax AND ymin > gymin AND ymax < gymax)"
+
+
+@query(
+    "relate_polygons",
+    _BOXES + f"SELECT entity_id, place_id, CASE WHEN NOT {_NEAR} THEN 'FF2FF1212' WHEN NOT {_OVER} THEN"
+    " CASE WHEN least(gxmax, xmax) > greatest(gxmin, xmin) OR least(gymax, ymax) > greatest(gymin, ymin) THEN 'FF2F11212' ELSE 'FF2F01212' END"
+    f" ELSE '2' || CASE WHEN {_B_EDGE_IN_A} THEN '1' ELSE 'F' END || CASE WHEN {_A_IN_B} THEN 'F' ELSE '2' END"
+    f" || CASE WHEN {_A_EDGE_IN_B} THEN '1' ELSE 'F' END || CASE WHEN {_SAME_SIDE} THEN '1' WHEN {_STRICT} THEN 'F' ELSE '0' END || CASE WHEN {_A_IN_B} THEN 'F' ELSE '1' END"
+    f" || CASE WHEN {_B_IN_A} THEN 'F' ELSE '2' END || CASE WHEN {_B_IN_A} THEN 'F' ELSE '1' END || '2' END AS matrix FROM boxes",
+)
+def relate_polygons(spark, d):
+    return _gold_place_pairs(spark, d).select("entity_id", "place_id", relate.matrix(E.col("gold"), E.col("place")).alias("matrix"))

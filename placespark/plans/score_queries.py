@@ -7,6 +7,7 @@ from placespark import fixtures as X
 from placespark.functions import exprs as F
 from placespark.functions import geom as G
 from placespark.operators import score as S
+from placespark.operators.layout import spread
 from placespark.plans.catalog import query, rounded
 from placespark.sources.tables import table
 
@@ -75,7 +76,7 @@ def _guesses(spark, d):
 
 
 def _pairs(spark, d, gold=None):
-    entities = X.entities(spark, d).select("entity_id", (X.gold_box() if gold is None else gold).alias("gold"))
+    entities = spread(X.entities(spark, d), "entity_id").select("entity_id", (X.gold_box() if gold is None else gold).alias("gold"))
     return entities.join(_guesses(spark, d), "entity_id")
 
 
