@@ -18,6 +18,7 @@ from placespark.functions import geodesy as D
 from placespark.functions import geom as G
 from placespark.functions import lexicon as X
 from placespark.operators import overlay as O
+from placespark.operators.score import as_area
 
 GROUP = ["key", "h"]
 
@@ -26,6 +27,8 @@ POINT_BUFFER = 0.02
 ARC_BUFFER = 0.05
 NEAR_BUFFER = 0.1
 ROUTE_BUFFER = 0.001
+# Rows fine enough for the strip along a route.
+ROUTE_HEIGHT = 2.0**-11
 # How far cardinal arcs and centers reach in diagonals, and buffer factors.
 ARC_REACH = 2.0
 CENTER_SHARE = 3.0
@@ -276,10 +279,15 @@ def route_lines(a: DataFrame, b: DataFrame, onward: DataFrame | None = None) ->
     return starts.join(ends, "key").select(*GROUP, F.concat(F.array("oa"), "rest").alias("points"))
 
 
+def route_shapes(lines: DataFrame) -> DataFrame:
+    """(key, geom) of the strips along routes, one part per leg, without scan conversion."""
+    return lines.select("key", as_area(G.make_line(E.col("points")), ROUTE_BUFFER).alias("geom"))
+
+
 def route(lines: DataFrame) -> DataFrame:
-    """A narrow strip along (key, h, points); it gets finer rows when its own are too coarse for it."""
-    fine = lines.select("key", "h", G.make_line(E.col("points")).alias("geom"))
-    wide = O.capsule_spans(O.outline_segments(fine), F.col("h"), F.greatest(F.lit(ROUTE_BUFFER), F.col("h") / 2))
+    """A narrow strip along (key, h, points); h should be ROUTE_HEIGHT or less for it to be seen."""
+    drawn = lines.select("key", "h", G.make_line(E.col("points")).alias("geom"))
+    wide = O.capsule_spans(O.outline_segments(drawn), F.col("h"), F.lit(ROUTE_BUFFER))
     events = O.slot_events(O.span_events(wide.select(*GROUP, "row", "x0", "x1")), GROUP, {"all": F.lit(True)})
     return O.merged_spans(O.sweep(events, GROUP, ["all"]), GROUP, F.col("n_all") > 0)
 
@@ -296,9 +304,14 @@ def evaluate(nodes: DataFrame, shapes: DataFrame, rows: int = 64) -> DataFrame:
     keyed = nodes.withColumns({"key": node_key("node_id"), "up": node_key("parent_id")})
     bound = keyed.where("op = 'GeoLocation'").join(shapes.select("shp_id", "geom"), "shp_id")
     # One row height per expression: its smallest place decides, its largest keeps the count of rows in bounds.
-    heights = bound.select("expr_id", row_height(G.bounds(E.col("geom")), rows).alias("one")).groupBy("expr_id").agg(
+    # A route is so narrow that it needs rows of its own fineness.
+    routed = keyed.where("op = 'Route'").select("expr_id", F.lit(True).alias("routed")).distinct()
+    sizes = bound.select("expr_id", row_height(G.bounds(E.col("geom")), rows).alias("one")).groupBy("expr_id").agg(
         F.greatest(F.min("one"), F.max("one") / 16).alias("h")
     )
+    heights = sizes.join(routed, "expr_id", "left").select(
+        "expr_id", F.when(F.col("routed"), F.least("h", F.lit(ROUTE_HEIGHT))).otherwise(F.col("h")).alias("h")
+    )
     plan = {
         (r["depth"], r["op"], r["sided"])
         for r in keyed.select("depth", "op", F.col("cardinal").isNotNull().alias("sided")).distinct().collect()

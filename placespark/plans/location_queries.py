@@ -133,9 +133,14 @@ def loc_between(spark, d):
     return _areas(L.between(*_neighbours(spark, d)), 4)
 
 
-@query("loc_route")
+@query(
+    "loc_route",
+    _PLACES + "SELECT a.place_id, round(2e-3 * sqrt(((a.xmin + a.xmax - b.xmin - b.xmax) / 2) ^ 2 + ((a.ymin + a.ymax - b.ymin - b.ymax) / 2) ^ 2)"
+    " + 16e-6 * sin(pi() / 16), 6) + 0 AS area FROM places a JOIN places b ON b.place_id = a.place_id + 1",
+)
 def loc_route(spark, d):
-    return _areas(L.route(L.route_lines(*_neighbours(spark, d))), 4)
+    strips = L.route_shapes(L.route_lines(*_neighbours(spark, d)))
+    return strips.select(F.col("key").alias("place_id"), rounded(G.area(E.col("geom"))).alias("area"))
 
 
 @query("resolve_expressions")

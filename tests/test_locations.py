@@ -102,3 +102,14 @@ def test_whole_expression(spark):
     areas = {r["expr_id"]: r["a"] for r in spans.groupBy("expr_id").agg(F.sum((F.col("x1") - F.col("x0")) * F.col("h")).alias("a")).collect()}
     assert areas["e1"] == pytest.approx(0.0025, rel=0.03)
     assert areas["e2"] == pytest.approx(0.01, rel=0.03)
+
+
+def test_route_of_routes(spark):
+    from placespark.operators.trees import operator_nodes
+
+    rows = spark.createDataFrame([("r", "Route(GeoLocation(1,None),Route(GeoLocation(2,None),GeoLocation(1,None)))")], "expr_id string, operators string")
+    both = shapes(spark, {"1": ONE, "2": TWO}).select(F.col("key").cast("int").alias("shp_id"), "geom")
+    spans = L.evaluate(operator_nodes(rows), both, 32)
+    row = spans.agg(F.sum((F.col("x1") - F.col("x0")) * F.col("h")).alias("a"), F.min("x0").alias("x0"), F.max("x1").alias("x1")).first()
+    assert row["a"] == pytest.approx(0.2 * 0.002, rel=0.1)
+    assert (row["x0"], row["x1"]) == (pytest.approx(1.049, abs=0.001), pytest.approx(1.251, abs=0.001))
