@@ -28,7 +28,7 @@ ARC_BUFFER = 0.05
 NEAR_BUFFER = 0.1
 ROUTE_BUFFER = 0.001
 # Rows fine enough for the strip along a route.
-ROUTE_HEIGHT = 2.0**-11
+ROUTE_HEIGHT = 2.0**-12
 # How far cardinal arcs and centers reach in diagonals, and buffer factors.
 ARC_REACH = 2.0
 CENTER_SHARE = 3.0
