@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -100,3 +101,19 @@ def hashed(values: pa.Array) -> np.ndarray:
 
     digest = xxhash.xxh3_64_intdigest
     return np.fromiter((digest(v) for v in pc.cast(values, pa.large_binary()).to_pylist()), np.uint64, len(values))
+
+
+def byte_level_pieces(path: str) -> Iterator[tuple[bytes, int]]:
+    """Pieces of a byte-level vocabulary file (JSON) as bytes with their ids, special tokens left out.
+
+    Such files write printable bytes as themselves and the others, in order, as the characters from 256 on.
+    """
+    with open(path, encoding="utf-8") as file:
+        content = json.load(file)
+    special = {t["content"] for t in content.get("added_tokens", []) if t.get("special")}
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(printable)]
+    of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+    for piece, number in content["model"]["vocab"].items():
+        if piece not in special:
+            yield bytes(of[c] for c in piece), number

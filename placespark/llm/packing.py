@@ -18,9 +18,11 @@ repeat are packed each; an empty table gives no pieces; further columns are igno
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from placespark.llm.common import slices, stored, strings
+from placespark.llm.common import as_array, byte_level_pieces, coded, slices, stored, strings
 
 WINDOW = 2048
 END = 1
-#: Distinct words whose ids a task keeps.
-CACHE = 400_000
+#: Fixed value: how byte-level BPE cuts a text before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 TOKENS = "doc_id long, source string, part int, source_start long, doc_tokens long, ids binary"
@@ -48,31 +50,24 @@ _LOOSE = r"^ | $|[\s\v\x1c-\x1f\x85\pZ] | [\s\v\x1c-\x1f\x85\p{Zl}\p{Zp}\p{Zs}]"
 
 
 class Encoder:
-    """Ids of texts by a tokenizer file, by distinct words.
+    """Ids of texts by a byte-level BPE file (JSON), distinct words once.
 
-    A byte-level tokenizer never joins a character to a space after it, so a text with single spaces only is the
-    sequence of its space-led words, and the ids of a word can be kept. Other texts are encoded whole.
+    Such a tokenizer never joins a character to a space after it, so a text with single spaces only is the sequence of
+    its space-led words. Other texts are encoded whole. In these files the ids are the ranks of the merges, which is
+    checked here, so the ranks are all that the encoder needs. Strings of special tokens are ordinary text.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, np.ndarray] = {}
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = [t for t in dict.fromkeys(texts) if t not in self.known]
-        if new:
-            found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            fresh = {t: np.array(e.ids, "<u4") for t, e in zip(new, found, strict=True)}
-            for t, ids in fresh.items():
-                if len(t) <= 64:
-                    self.known[t] = ids
-            return [fresh[t] if t in fresh else self.known[t] for t in texts]
-        return [self.known[t] for t in texts]
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+        merged = [model["vocab"][a + b] for a, b in pairs]
+        if model["type"] != "BPE" or any(x >= y for x, y in pairwise(merged)):
+            raise ValueError(f"{path}: not a byte-level BPE whose ids are ranks")
+        ranks = dict(byte_level_pieces(path))
+        self._encode = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def ids(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text, in order."""
@@ -84,16 +79,15 @@ class Encoder:
         first = np.zeros(len(flat), bool)
         first[np.append(0, ends[:-1])] = True
         led = pc.if_else(pa.array(first), flat, pc.binary_join_element_wise(nothing, flat, space))
-        coded = led.dictionary_encode()
-        pieces = self._encode(coded.dictionary.to_pylist())
+        codes, distinct = coded(as_array(led))
+        pieces = [self._encode(w) for w in distinct.to_pylist()]
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         starts = np.append(0, np.cumsum(lengths))[:-1]
-        all_ids = np.concatenate([*pieces, np.zeros(0, "<u4")])
-        codes = coded.indices.to_numpy(zero_copy_only=False)
+        all_ids = np.fromiter(chain.from_iterable(pieces), "<u4", int(lengths.sum()))
         begin = 0
         for whole, end, text in zip(loose.to_pylist(), ends.tolist(), texts, strict=True):
             if whole:
-                yield self._encode([text.as_py()])[0]
+                yield np.array(self._encode(text.as_py()), "<u4")
             else:
                 own = codes[begin:end]
                 n = lengths[own]
