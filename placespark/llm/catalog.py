@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from placespark.llm import decontamination, language, packing, quality, quality_rules, token_counts, warc
+from placespark.llm import decontamination, language, packing, quality, quality_rules, similarity_join, token_counts, toxicity, warc
 from placespark.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_join.group(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -45,7 +53,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_warc, op2_token_counts, op3_quality, op6_quality_rules, op7_language, op8_decontamination, op10_packing,
+        op1_warc, op2_token_counts, op3_quality, op4_toxicity, op6_quality_rules, op7_language, op8_decontamination,
+        op9_similarity_join, op10_packing,
     )
 }
-ORACLES = {"op1_warc": warc.ORACLE, "op6_quality_rules": quality_rules.oracle()}
+ORACLES = {"op1_warc": warc.ORACLE, "op6_quality_rules": quality_rules.oracle(), "op9_similarity_join": similarity_join.ORACLE}
