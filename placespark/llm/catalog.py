@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from placespark.llm import decontamination, language, packing, quality, quality_rules, similarity_join, token_counts, toxicity, warc
+from placespark.llm import decontamination, language, packing, quality, quality_rules, similarity_join, suffix_dedup, token_counts, toxicity, warc
 from placespark.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -53,8 +57,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_warc, op2_token_counts, op3_quality, op4_toxicity, op6_quality_rules, op7_language, op8_decontamination,
+        op1_warc, op2_token_counts, op3_quality, op4_toxicity, op5_suffix_dedup, op6_quality_rules, op7_language, op8_decontamination,
         op9_similarity_join, op10_packing,
     )
 }
-ORACLES = {"op1_warc": warc.ORACLE, "op6_quality_rules": quality_rules.oracle(), "op9_similarity_join": similarity_join.ORACLE}
+ORACLES = {
+    "op1_warc": warc.ORACLE, "op5_suffix_dedup": suffix_dedup.ORACLE, "op6_quality_rules": quality_rules.oracle(), "op9_similarity_join": similarity_join.ORACLE,
+}
