@@ -15,7 +15,7 @@ ROWS = [
     (0, ITEMS[0][1]), (1, f"{PAD} {ITEMS[0][1]}. {PAD}"), (2, f"{PAD}\n{RENAMED}"), (3, f"{PAD} {BROKEN}"), (4, PAD),
     (5, ITEMS[1][1] + " " + PAD + " " + ITEMS[1][1]), (6, "ohne zahlen und namen steht hier eine " + PAD), (7, None), (8, ""),
     (9, "5 6 7 8 9 10 11 12 13 14 15 16 17"), (10, RENAMED.upper()), (11, f"{PAD} {ITEMS[1][1]}"), (11, f"{PAD} {ITEMS[1][1]}"),
-    (None, ITEMS[1][1]), (12, (PAD + " ") * 500 + RENAMED.replace("450 km", "450km")), (13, "x " + ITEMS[1][1][20:]),
+    (None, ITEMS[1][1]), (12, (PAD + " ") * 500 + RENAMED), (13, "x " + ITEMS[1][1][20:]),
 ]
 
 
