@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from placespark.llm import toxicity
 from placespark.llm.toxicity import GRADES, Model
@@ -27,13 +28,23 @@ def test_gradient_finds_ordered_grades():
     x = random.integers(0, 2, (600, 4))
     grades = np.minimum(GRADES, x[:, 0] + 2 * x[:, 1])
     rows, columns = np.nonzero(x)
-    model = Model.fit(list("abcd"), rows, columns, grades)
-    assert (np.diff(model.thresholds) > 0).all()
-    assert model.weights[1] > model.weights[0] > 1 and np.abs(model.weights[2:]).max() < 1
-    above = model.above(x @ model.weights)
+    model = Model.fit(list("abcd"), rows, columns * toxicity.LEVELS, grades)
+    weights = model.weights[:, 0]
+    assert (np.diff(model.thresholds) > 0).all() and not model.weights[:, 1:].any()
+    assert weights[1] > weights[0] > 1 and np.abs(weights[2:]).max() < 1
+    above = model.above(x @ weights)
     assert (np.diff(above, axis=1) <= 0).all() and np.corrcoef(above.sum(axis=1), grades)[0, 1] > 0.95
 
 
+def test_features_of_a_text():
+    piece = pa.record_batch({"text": ["Foobar, foobaz! (FOO) x", None]})
+    rows, names, times, size = toxicity.document_features(piece)
+    found = dict(zip(names.to_pylist(), times.tolist()))
+    assert found == {"foobar": 1, "foobaz": 1, "foo": 1, "x": 1, "foo*": 2, "fooba*": 2}
+    assert set(rows) == {0} and set(size) == {4}
+    assert toxicity.met(np.array([2]), np.array([300])).tolist() == [[True, True, False, True, False]]
+
+
 def test_edges(docs, spark):
     rows = [(i, f"plain words {i} " + ("slur! Insult" if i % 3 == 0 else "fine day")) for i in range(60)]
     rows += [(100, None), (101, ""), (102, "INSULT slur " * 30000), (None, "fine day"), (103, "slur insult"), (103, "fine day")]
