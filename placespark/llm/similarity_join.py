@@ -6,6 +6,7 @@ least, reading the lists of its prefix and verifying those that may share l of t
 min(l, l') shingles within the prefixes of that length, and is then verified on the whole sets.
 
 - Order: rarer shingles first by a count sketch of fixed size over all documents, then by hash.
+- A shared shingle only counts where enough of both sets is left from its place on.
 - Equal sets are one class; only classes are joined, and their members get what the class gets.
 - Links in a large group are found as stars: each class is first verified with the earliest and latest class that share
   most of its prefix. All candidate pairs that then still lie in different components are verified, so no component is
@@ -24,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placespark.llm.common import coded, hashed, mixed, slices, stored, strings, words
@@ -113,8 +114,8 @@ def choose(excess: np.ndarray, n: int) -> int:
 
 
 def prefixes(documents: DataFrame, counts: np.ndarray) -> DataFrame:
-    """Class, set size and prefix of each document. A shingle at place i of the prefix counts from max(1, i - base + 1)
-    matches on, where base is n - needed(n)."""
+    """Class, set size and prefix of each document. A shingle at place i of the prefix counts for pairs that ask for
+    i - (n - needed(n)) + 1 matches or more."""
     noise = max(1.0, counts.sum() / CELLS)
     shared = documents.sparkSession.sparkContext.broadcast(counts)
 
@@ -157,10 +158,16 @@ def prefixes(documents: DataFrame, counts: np.ndarray) -> DataFrame:
 
 
 def _postings(docs: DataFrame) -> DataFrame:
-    """(token, class, level) of every prefix shingle."""
-    base = F.col("n_shingles") - F.ceil(PERCENT * F.col("n_shingles") / 100)
-    return docs.select("s1", "s2", base.alias("base"), F.posexplode("prefix").alias("place", "token")).select(
-        "token", "s1", "s2", F.greatest(F.lit(1), F.col("place") - F.col("base") + 1).cast("int").alias("level")
+    """(token, class, place) of every prefix shingle."""
+    return docs.select("s1", "s2", F.posexplode("prefix").alias("place", "token"))
+
+
+def _reach(n: str, place: str, n_other: str, place_other: str, matches: int | Column) -> Column:
+    """Whether sets of these sizes can be similar whose ``matches``-th common shingle or an earlier one is at these
+    places: no more than what is left from there on, and the matches before, can be common."""
+    left = F.least(F.col(n) - F.col(place), F.col(n_other) - F.col(place_other)) + matches - 1
+    return ((100 + PERCENT) * left >= PERCENT * (F.col(n) + F.col(n_other))) & (
+        100 * F.least(n, n_other) >= PERCENT * F.greatest(n, n_other)
     )
 
 
@@ -219,7 +226,7 @@ def links(documents: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     tokens = postings.groupBy("token").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).filter("low < high")
     shared = postings.join(tokens.select("token"), "token").distinct()
     shared = stored(
-        shared.join(classes, ["s1", "s2"]).select("token", "cid", "first", "n", "level", "level_limit"), "join-shared"
+        shared.join(classes, ["s1", "s2"]).select("token", "cid", "first", "n", "place", "level_limit"), "join-shared"
     )
     nodes = shared.select("cid").distinct()
     sets = _sets(documents, classes.join(nodes, "cid"))
@@ -243,20 +250,23 @@ def links(documents: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     grouped = shared.join(groups, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
     mixed_tokens = grouped.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("q")).filter("r < q")
     grouped = stored(
-        grouped.join(mixed_tokens.select("token"), "token").select("token", "root", "cid", "n", "level", "level_limit"),
+        grouped.join(mixed_tokens.select("token"), "token").select("token", "root", "cid", "n", "place", "level_limit"),
         "join-mixed",
     )
-    of = grouped.select("token", "root").distinct()
-    roots = of.join(of.withColumnRenamed("root", "other"), "token").filter("root < other")
-    left = grouped.toDF("token", "root", "a", "n_a", "level_a", "limit_a")
-    right = grouped.toDF("token", "other", "b", "n_b", "level_b", "limit_b")
-    level = F.least("limit_a", "limit_b")
+    of = grouped.groupBy("token", "root", "n").agg(F.min("place").alias("place"))
+    left, right = of.toDF("token", "root_a", "n_a", "place_a"), of.toDF("token", "root_b", "n_b", "place_b")
+    roots = left.join(
+        right, (left["token"] == right["token"]) & F.expr("root_a < root_b") & _reach("n_a", "place_a", "n_b", "place_b", LONGEST)
+    ).select(left["token"], "root_a", "n_a", "root_b", "n_b")
+    left = grouped.toDF("token", "root_a", "a", "n_a", "place_a", "limit_a")
+    right = grouped.toDF("token", "root_b", "b", "n_b", "place_b", "limit_b")
+    asked = F.least("limit_a", "limit_b")
+    level = {x: F.col(f"place_{x}") - F.floor(F.col(f"n_{x}") * (100 - PERCENT) / 100) + 1 for x in "ab"}
     crossing = (
-        roots.join(left, ["token", "root"])
-        .join(right, ["token", "other"])
-        .filter((F.col("level_a") <= level) & (F.col("level_b") <= level))
-        .filter(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-        .groupBy("a", "b", level.alias("asked"))
+        roots.join(left, ["token", "root_a", "n_a"])
+        .join(right, ["token", "root_b", "n_b"])
+        .filter((level["a"] <= asked) & (level["b"] <= asked) & _reach("n_a", "place_a", "n_b", "place_b", asked))
+        .groupBy("a", "b", asked.alias("asked"))
         .agg(F.count("*").alias("n_shared"))
         .filter("n_shared >= asked")
     )
