@@ -2,31 +2,16 @@
 
 from __future__ import annotations
 
-import sys
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of a plan's output; no job is run.
-
-    Chains of joins are estimated by products, which may be too long to pass as a number."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    except ValueError:
-        return sys.maxsize
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give every core a share of an input that is small in bytes but heavy in work per row.
+    """Give every core a share of an input that is heavy in work per row, whatever its size in bytes.
 
-    Inputs of a partition's size per core or more are left as they are: their scan already has
-    enough partitions, and a shuffle would only cost."""
+    The number of tasks is given, as adaptive execution would join small partitions by their bytes."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    if estimated_bytes(df) >= cores * 128 * 1024 * 1024:
-        return df
     return df.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 

@@ -19,7 +19,7 @@ def _joined(lines: list[list[tuple[float, float]]]) -> list[list[tuple[float, fl
         if line[0] != line[-1]:
             for p in (line[0], line[-1]):
                 ends.setdefault(p, []).append(i)
-    open_ends = {p: ids for p, ids in ends.items() if len(ids) == 2 and ids[0] != ids[1] or len(ids) == 2}
+    open_ends = {p: ids for p, ids in ends.items() if len(ids) == 2}
     used, out = set(), []
 
     def walk(i, start):

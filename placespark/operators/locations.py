@@ -8,8 +8,6 @@ by (key, row); per key only a centre, an extent and a cut line are summed up.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,18 +52,18 @@ def opposite_of(cardinal: Column) -> Column:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Store a result that several later steps read, so that none of them computes it again."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="placespark-"))
+    """Store a result that several later steps read, so that none of them computes it again.
+
+    The folder is spark.checkpoint.dir, or one in the warehouse where that is unset; all executors see both."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
     return df.checkpoint()
 
 
 def row_height(b: Column, rows: int) -> Column:
-    """Power of two that gives a box at least ``rows`` rows, fewer when it is much wider than high."""
-    size = E.greatest(b["ymax"] - b["ymin"], (b["xmax"] - b["xmin"]) / 16, E.lit(1e-6))
+    """Power of two that gives a box at least ``rows`` rows, however wide it is; a level line has the least height."""
+    size = E.greatest(b["ymax"] - b["ymin"], E.lit(1e-6))
     return E.power(E.lit(2.0), E.floor(E.function("log2")(size / rows)))
 
 
@@ -299,15 +297,16 @@ def evaluate(nodes: DataFrame, shapes: DataFrame, rows: int = 64) -> DataFrame:
     """Operator node rows and shapes (shp_id, geom) -> spans of every expression's root.
 
     Levels are evaluated from the leaves up, all expressions at once; each level is stored, as the
-    next one reads it several times. Expressions of equal text should be made distinct before."""
+    next one reads it several times. Expressions of equal text should be made distinct before. Place numbers start anew
+    in each entity: where both inputs have ``entity_id``, places are those of the expression's own entity."""
     node_key = lambda n: F.concat_ws("#", "expr_id", n)
     keyed = nodes.withColumns({"key": node_key("node_id"), "up": node_key("parent_id")})
-    bound = keyed.where("op = 'GeoLocation'").join(shapes.select("shp_id", "geom"), "shp_id")
-    # One row height per expression: its smallest place decides, its largest keeps the count of rows in bounds.
-    # A route is so narrow that it needs rows of its own fineness.
+    scope = [c for c in ("entity_id",) if c in nodes.columns and c in shapes.columns]
+    bound = keyed.where("op = 'GeoLocation'").join(shapes.select(*scope, "shp_id", "geom"), [*scope, "shp_id"])
+    # One row height per expression: its smallest place decides, so that none falls between two rows. A route is so narrow that it needs rows of its own fineness.
     routed = keyed.where("op = 'Route'").select("expr_id", F.lit(True).alias("routed")).distinct()
     sizes = bound.select("expr_id", row_height(G.bounds(E.col("geom")), rows).alias("one")).groupBy("expr_id").agg(
-        F.greatest(F.min("one"), F.max("one") / 16).alias("h")
+        F.min("one").alias("h")
     )
     heights = sizes.join(routed, "expr_id", "left").select(
         "expr_id", F.when(F.col("routed"), F.least("h", F.lit(ROUTE_HEIGHT))).otherwise(F.col("h")).alias("h")

@@ -305,7 +305,7 @@ def compose_relations(spark, d):
 @query("is_defined", X.with_sql("links")[:-1] + f", {_RELATIONS} SELECT entity_id, place_id, relation, relation = 'Between' OR cardinal IS NOT NULL AS defined FROM relations")
 def is_defined(spark, d):
     return _relations(spark, d).select(
-        "entity_id", "place_id", "relation", R.is_defined(F.col("relation"), F.col("cardinal")).alias("defined")
+        "entity_id", "place_id", "relation", R.is_defined(F.col("relation"), F.col("side"), F.get("own_cardinals", F.lit(0))).alias("defined")
     )
 
 
@@ -322,14 +322,14 @@ def _parsed(spark, d):
     known = _sentences(spark, d).withColumn("known", R.known_text(F.col("sentence")))
     found = known.select("entity_id", "place_id", "sentence", R.matches(R.E.col("known")).alias("m"))
     first = F.get("m", F.lit(0))
-    cardinal = F.coalesce(first["side"], F.get(first["own_cardinals"], F.lit(0)))
+    own = F.get(first["own_cardinals"], F.lit(0))
     return found.select(
         "entity_id",
         "place_id",
         "sentence",
         F.contains("sentence", F.lit("SHP")).alias("with_shape"),
         (F.size("m") > 0).alias("success"),
-        F.coalesce((F.size("m") > 1) | R.is_defined(first["relation"], cardinal), F.lit(False)).alias("defined"),
+        F.coalesce((F.size("m") > 1) | R.is_defined(first["relation"], first["side"], own), F.lit(False)).alias("defined"),
     )
 
 

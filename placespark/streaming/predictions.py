@@ -16,7 +16,7 @@ def predict_new(
     """Append a prediction for every arriving entity that has none in the table yet.
 
     ``predict`` turns (entity_id, ...) rows into (entity_id, geom) rows. Entities already stored are left
-    out of each batch, so a batch that is run again after a failure adds nothing twice."""
+    out of each batch and one that comes twice in it is taken once, so a batch that is run again after a failure adds nothing twice."""
     from pyspark.sql import functions as F
 
     schema = "entity_id string, geom string, method string"
@@ -29,7 +29,7 @@ def predict_new(
             if "PATH_NOT_FOUND" not in str(error):
                 raise
             stored = spark.createDataFrame([], schema)
-        fresh = predict(pending(batch, stored)).withColumn("method", F.lit(method))
+        fresh = predict(pending(batch.dropDuplicates(["entity_id"]), stored)).withColumn("method", F.lit(method))
         append_predictions(fresh, table)
 
     return arriving.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
