@@ -2,7 +2,10 @@
 
 from importlib import import_module
 
-MODULES = ("geometry_queries", "score_queries", "text_queries", "table_queries", "tile_queries", "location_queries")
+MODULES = (
+    "geometry_queries", "score_queries", "text_queries", "table_queries", "tile_queries", "location_queries",
+    "prediction_queries",
+)
 
 
 def load_catalog():
