@@ -1,4 +1,4 @@
-"""Location operators against hand-drawn targets: shares of the result and of the target that agree."""
+"""Location operators against given target polygons (fixed values): shares of the result and of the target that agree."""
 
 import pytest
 from pyspark.sql import functions as F
