@@ -12,6 +12,7 @@ MAJOR = 6378137.0
 FLATTENING = 1 / 298.257223563
 MINOR = MAJOR * (1 - FLATTENING)
 ROUNDS = 8
+SETTLED = 1e-10
 ARC_STEP = 10
 
 
@@ -33,7 +34,7 @@ def _names(**values) -> Column:
 
 
 def geodesic_distance(a: Column, b: Column) -> Column:
-    """Length in metres of the shortest way between two points; 0 for equal points."""
+    """Length in metres of the shortest way between two points; 0 for equal points, null for nearly opposite ones."""
     reduced = lambda lat: F.atan(F.tan(F.radians(lat)) * (1 - FLATTENING))
 
     def on(p):
@@ -79,7 +80,9 @@ def geodesic_distance(a: Column, b: Column) -> Column:
                 )
 
             lam = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), k["l"], next_lambda)
-            return F.let(lam, lambda v: F.let(geometry_of(v), length))
+            # One more round shows whether the rounds have settled; between nearly opposite points they do not.
+            settled = lambda v, w: F.when(F.abs(w - v) < SETTLED, F.let(geometry_of(w), length))
+            return F.let(lam, lambda v: F.let(next_lambda(v, None), lambda w: settled(v, w)))
 
         return F.let(start, with_parts)
 

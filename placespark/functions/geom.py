@@ -385,8 +385,16 @@ def centrality(g: Column, metric: str = "centroid") -> Column:
     return let(middle, lambda m: closest_point(g, m))
 
 
-def point_on_surface(g: Column) -> Column:
-    """Middle of the widest run on the middle scanline of an area; a middle point otherwise."""
+def point_on_surface(g: Column, largest: bool = False) -> Column:
+    """Middle of the widest run on the middle scanline of an area's largest part; a middle point otherwise.
+
+    largest: g is that part already."""
+    if not largest:
+        one = lambda p: geometry("Polygon", F.array(p))
+        sized = F.transform(g["parts"], lambda p: F.struct(area(one(p)).alias("size"), p.alias("part")))
+        inside = let(F.array_max(sized), lambda r: let(one(r["part"]), lambda part: point_on_surface(part, True)))
+        middle = F.element_at(points(g), F.ceil(F.size(points(g)) / 2).cast("int"))
+        return F.when(is_area(g), inside).otherwise(middle)
 
     def runs(b):
         y = (b["ymin"] + b["ymax"]) / 2
@@ -413,8 +421,7 @@ def point_on_surface(g: Column) -> Column:
 
         return let(xs, widest)
 
-    middle = F.element_at(points(g), F.ceil(F.size(points(g)) / 2).cast("int"))
-    return F.when(is_area(g), let(bounds(g), runs)).otherwise(middle)
+    return let(bounds(g), runs)
 
 
 def boundary(g: Column) -> Column:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from placespark.functions import exprs as E
+from placespark.functions import geodesy
 from placespark.functions import geom as G
 from placespark.operators import locations as L
 from placespark.operators import relations as R
@@ -71,3 +72,15 @@ def test_last_line_wins_over_several_files(spark, tmp_path):
     (tmp_path / "b.tsv").write_text("k1\tnew\n")
     found = {r["entity_id"]: r["operators"] for r in corpus.read_operator_rows(spark, str(tmp_path)).collect()}
     assert found["k1"] == "new" and found["k2"] == "old8997"
+
+
+def test_point_on_surface_of_parts_above_each_other(spark):
+    text = "MULTIPOLYGON(((0 0,4 0,4 1,0 1,0 0)),((0 5,1 5,1 6,0 6,0 5)))"
+    row = shapes(spark, [("a", text)], "key string, wkt string").select(G.point_on_surface(E.col("geom")).alias("p")).first()
+    assert (row["p"]["x"], row["p"]["y"]) == (2.0, 0.5)
+
+
+def test_no_distance_where_the_rounds_do_not_settle(spark):
+    df = spark.createDataFrame([(0.0, 0.0, 179.7, 0.5), (0.0, 0.0, 1.0, 0.0)], "a double, b double, c double, d double")
+    found = df.select(geodesy.geodesic_distance(G.xy(E.col("a"), E.col("b")), G.xy(E.col("c"), E.col("d"))).alias("m")).collect()
+    assert found[0]["m"] is None and found[1]["m"] == pytest.approx(111319.49, abs=0.01)
