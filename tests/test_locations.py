@@ -12,6 +12,7 @@ ONE = "POLYGON((1.0 1.0, 1.1 1.0, 1.1 1.1, 1.0 1.1, 1.0 1.0))"
 TWO = "POLYGON((1.2 1.0, 1.3 1.0, 1.3 1.1, 1.2 1.1, 1.2 1.0))"
 H = 2.0**-11
 
+# Target polygons of the sides of ONE.
 HALVES = {
     "W": "POLYGON((1.0 1.0, 1.05 1.0, 1.05 1.1, 1.0 1.1, 1.0 1.0))",
     "E": "POLYGON((1.05 1.0, 1.1 1.0, 1.1 1.1, 1.05 1.1, 1.05 1.0))",

@@ -144,6 +144,7 @@ def test_tiles(spark):
     assert all(r["id"] == r["t"] for r in back.collect())
 
 
+# Expected relations of given phrases.
 PHRASES = [
     ("in SHP1", "SubLocation", [1], None, None, None), ("a city in SHP1", "SubLocation", [1], None, None, None),
     ("in the city of SHP1", "SubLocation", [1], None, None, None), ("in the state of SHP1", "SubLocation", [1], None, None, None),
