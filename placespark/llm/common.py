@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Separators of words: space and the control characters tab to carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -36,6 +37,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def about(df: DataFrame, key: str, n: int) -> DataFrame:
+    """Some n rows or a few more, those of the smallest hashes of the key, or all if there are not twice as many.
+
+    For fitting on a bounded sample: a sort for exactly n rows then has this many to look at, not n from every task."""
+    total = df.count()
+    if total <= 2 * n:
+        return df
+    return df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * (1.1 * n + 100) / total))
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``limit`` bytes of ``column``, one row at least."""
     sizes = pc.fill_null(pc.cast(pc.binary_length(batch[column]), pa.int64()), 0).to_numpy(zero_copy_only=False)

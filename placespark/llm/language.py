@@ -5,8 +5,8 @@ the largest response of each filter in the window is kept, and a softmax over th
 into windows from front to end, the last one filled up with spaces, all windows are scored, and their probabilities are
 averaged by bytes, so the whole text counts.
 
-Training takes at most ``max_windows`` windows, by hash order, of texts with a language (two random windows of each text):
-a documented bound for fitting only. Null text and text without a letter is `und` with score 0; null languages are never
+Training takes at most ``max_windows`` windows, two random ones of each of the texts with a language that come first by
+the hash of their id: a documented bound for fitting only. Null text and text without a letter is `und` with score 0; null languages are never
 learned from; without any labelled text everything is `und`. Rows that repeat are predicted each; ties go to the language
 that sorts first; an empty table gives no rows; further columns are ignored.
 """
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placespark.llm.common import raw, slices, strings
+from placespark.llm.common import about, raw, slices, strings
 
 LENGTH = 256
 WIDTHS = (2, 3, 4)
@@ -156,9 +156,9 @@ def training_windows(labelled: DataFrame, max_windows: int = MAX_WINDOWS) -> tup
 
 
 def fit(labelled: DataFrame, max_windows: int = MAX_WINDOWS) -> Network | None:
-    """A network for the languages of these rows (lang, text); None without any."""
-    letters = F.col("text").rlike(r"\p{L}")
-    x, names = training_windows(labelled.filter(F.col("lang").isNotNull() & letters), max_windows)
+    """A network for the languages of these rows (doc_id, lang, text); None without any."""
+    rows = about(labelled.select("doc_id", "lang", "text").filter("lang is not null"), "doc_id", max_windows // 2)
+    x, names = training_windows(rows.filter(F.col("text").rlike(r"\p{L}")), max_windows)
     if not names:
         return None
     languages = sorted(set(names))

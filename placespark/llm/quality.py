@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placespark.llm.common import coded, hashed, mixed, slices, stored, strings, words
+from placespark.llm.common import about, coded, hashed, mixed, slices, stored, strings, words
 
 BUCKETS = 1 << 14
 SIZE = 24
@@ -196,9 +196,9 @@ class Network:
 def fit(rows: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Network:
     """A network for (doc_id, features) rows outside the held-out fold and their labels."""
     known = labels.filter(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select(
-        F.col("doc_id").alias("id"), F.col("quality").alias("label"), F.xxhash64("doc_id").alias("order")
+        F.col("doc_id").alias("id"), F.col("quality").alias("label"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("order")
     )
-    known = known.orderBy("order", "id", "label").limit(max_train)
+    known = about(known, "id", max_train).orderBy("order", "id", "label").limit(max_train)
     found = rows.join(known, F.col("doc_id") == F.col("id")).orderBy("order", "id", "label", "features").limit(max_train)
     found = found.select("features", "label").toArrow()
     x = np.array(pc.list_flatten(found["features"]).to_numpy(), np.float64).reshape(-1, FEATURES)

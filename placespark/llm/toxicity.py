@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placespark.llm.common import as_array, coded, slices, stored, strings, words
+from placespark.llm.common import about, as_array, coded, slices, stored, strings, words
 
 GRADES = 3
 MIN_CHI = 20.0
@@ -141,7 +141,9 @@ def fit(
     """A model of the labelled documents; None without labels of both kinds."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("label"))
-    known = stored(known.orderBy(F.xxhash64("id"), "id").limit(max_train), "toxicity-labels")  # at most max_train rows
+    order = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    known = about(known, "id", max_train).orderBy(order, "id").limit(max_train)
+    known = stored(known, "toxicity-labels")  # at most max_train rows
 
     def task(batches):
         for batch in batches:
