@@ -6,8 +6,9 @@ document; each pair of document and item found is aligned at its offset and comp
 ``WINDOW + STRIDE - 1`` template words or more always has a window that is joined. A leak must cover ``min_share`` of
 the item's windows, and its slots must be consistent: equal values stay equal and different ones stay different.
 
-- Words are cleaned of everything but letters and digits. Names: words of one capital and small letters; where an item
-  and a text differ in the capital only at the start of a sentence, the windows without that word still meet.
+- Words are cleaned of everything but letters and digits. Names: words of one capital and small letters. Windows are
+  joined a second time in small letters, with names as they stand, so copies in other capitals are found; names that are
+  changed as well are not known as names there.
 - Windows of fewer than ``MIN_LITERALS`` words that are no placeholders are not joined, so lists of numbers find nothing.
 - Null or empty text, and items of fewer words than a window, have no windows. Rows that repeat count once. A null
   doc_id is reported as such. Without rows in either table there are no leaks. Further columns are ignored.
@@ -36,6 +37,8 @@ NUMBERS = (
     " nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half twice"
 ).split()
 NUMBER, NAME, UNIT = "#", "@", "~"
+#: What windows are made of: words with placeholders for names, or in small letters without them.
+NAMED, FOLDED = FORMS = ("named", "folded")
 
 
 def cleaned(text: Column) -> Column:
@@ -47,10 +50,10 @@ def split_words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
-def template(clean: Column) -> Column:
-    """The cleaned text with placeholders in place of words, as many words as before."""
+def template(clean: Column, names: bool = True) -> Column:
+    """The cleaned text in small letters with placeholders in place of words, as many words as before."""
     units = "|".join(UNITS)
-    out = F.lower(F.regexp_replace(clean, r"(?<!\S)\p{Lu}\p{Ll}+(?!\S)", NAME))
+    out = F.lower(F.regexp_replace(clean, r"(?<!\S)\p{Lu}\p{Ll}+(?!\S)", NAME) if names else clean)
     out = F.regexp_replace(out, rf"(?<!\S)(?:\p{{N}}+(?:st|nd|rd|th)?|{'|'.join(NUMBERS)})(?!\S)", NUMBER)
     out = F.regexp_replace(out, rf"(?<!\S)\p{{N}}+(?:{units})(?!\S)", NUMBER + UNIT)
     return F.regexp_replace(out, rf"(?<!\S){NUMBER}(\s+)(?:{units})(?!\S)", rf"{NUMBER}$1{UNIT}")
@@ -60,81 +63,132 @@ def _placeholder(word: Column) -> Column:
     return word.isin(NUMBER, NAME, UNIT, NUMBER + UNIT)
 
 
-def _windows(words: Column, step: int) -> Column:
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _case(form: Column, value) -> Column:
+    """value(f) for the form f of the row."""
+    return F.coalesce(*[F.when(form == f, value(f)) for f in FORMS])
+
+
+def _form_words(clean: Column, form: str) -> Column:
+    return split_words(template(clean, form == NAMED))
+
+
+def _tokens(clean: Column, form: str) -> Column:
+    """Words of a form: token t, what stands there as v, its first and last place a and b among the words."""
+    return _let(
+        F.struct(split_words(F.lower(clean)).alias("raw"), _form_words(clean, form).alias("words")),
+        lambda s: F.transform(
+            s["words"],
+            lambda t, i: F.struct(t.alias("t"), F.get(s["raw"], i).alias("v"), (i + 1).alias("a"), (i + 1).alias("b")),
+        ),
+    )
+
+
+def _windows(words: Column, step: int, form: str) -> Column:
     """Hashes of every step-th window, with its first place."""
     last = F.size(words) - (WINDOW - 1)
     places = F.when(last >= 1, F.sequence(F.lit(1), last, F.lit(step)))
-    return F.transform(
-        places, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(words, i, WINDOW)).alias("window_hash"))
+    found = F.transform(
+        places,
+        lambda i: F.struct(F.lit(form).alias("form"), i.alias("at"), F.xxhash64(F.slice(words, i, WINDOW)).alias("window_hash")),
+    )
+    return F.coalesce(found, F.array().cast("array<struct<form:string,at:int,window_hash:bigint>>"))
+
+
+def _runs(places: Column) -> Column:
+    """Runs of WINDOW increasing places or more without a gap, by their first and last place."""
+    starts = F.transform(  # WINDOW places in a row end WINDOW - 1 higher
+        F.filter(
+            F.transform(places, lambda k, i: F.struct(k.alias("k"), F.get(places, i + (WINDOW - 1)).alias("end"))),
+            lambda x: x["end"] == x["k"] + (WINDOW - 1),
+        ),
+        lambda x: x["k"],
+    )
+    return _let(
+        starts,
+        lambda w: F.zip_with(
+            F.filter(w, lambda k, i: (i == 0) | (F.get(w, i - 1) != k - 1)),
+            F.filter(w, lambda k, i: F.coalesce(F.get(w, i + 1) != k + 1, F.lit(True))),
+            lambda x, y: F.struct(x.alias("first"), (y + (WINDOW - 1)).alias("last")),
+        ),
     )
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
     """A row for each document and item that it leaks, at the offset where it has most of it."""
-    items = benchmark.select("item_id", cleaned(F.col("text")).alias("clean")).distinct()
-    items = items.select(
-        "item_id", split_words("clean").alias("item_raw"), split_words(template(F.col("clean"))).alias("item_words")
-    ).filter(F.size("item_words") >= WINDOW)
-    literals = F.size(
-        F.filter(F.slice("item_words", F.col("w.at"), WINDOW), lambda w: ~_placeholder(w))
-    )
-    seeds = stored(
-        items.select("item_id", "item_words", F.explode(_windows(F.col("item_words"), 1)).alias("w"))
-        .filter(literals >= MIN_LITERALS)
-        .select("item_id", F.col("w.at").alias("item_at"), F.col("w.window_hash").alias("window_hash")),
-        "leaks-seeds",
+    clean = cleaned(F.col("text"))
+    forms = F.explode(F.array(*[F.struct(F.lit(f).alias("form"), _tokens(clean, f).alias("asked")) for f in FORMS]))
+    items = benchmark.select("item_id", "text").distinct().select("item_id", F.size(split_words(clean)).alias("n"), forms.alias("f"))
+    items = items.select("item_id", "n", "f.form", "f.asked").filter(F.col("n") >= WINDOW).distinct()
+    places = F.sequence(F.lit(1), F.size("asked") - (WINDOW - 1))
+    window = F.slice("words", F.col("item_at"), WINDOW)
+    seeds = (
+        items.filter(F.size("asked") >= WINDOW)
+        .select("item_id", "form", F.transform("asked", lambda x: x["t"]).alias("words"), F.explode(places).alias("item_at"))
+        .filter(F.size(F.filter(window, lambda w: ~_placeholder(w))) >= MIN_LITERALS)
+        .select("item_id", "form", "item_at", F.xxhash64(window).alias("window_hash"))
     )
+    seeds = stored(seeds, "leaks-seeds")
 
-    texts = documents.select("doc_id", "text").filter(F.col("text").isNotNull())
+    texts = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).filter(F.col("text").isNotNull())
     probes = (
-        texts.select("doc_id", F.xxhash64("text").alias("text_hash"), split_words(template(cleaned(F.col("text")))).alias("words"))
-        .select("doc_id", "text_hash", F.explode(_windows(F.col("words"), STRIDE)).alias("w"))
-        .select("doc_id", "text_hash", F.col("w.at").alias("at"), F.col("w.window_hash").alias("window_hash"))
-    )
-    met = probes.join(seeds, "window_hash").select(
-        F.col("doc_id").alias("id"), F.col("text_hash").alias("same"), "item_id", (F.col("at") - F.col("item_at")).alias("shift")
+        texts.select("doc_id", "text_hash", *[_form_words(clean, f).alias(f) for f in FORMS])
+        .select("doc_id", "text_hash", F.explode(F.concat(*[_windows(F.col(f), STRIDE, f) for f in FORMS])).alias("w"))
+        .select("doc_id", "text_hash", "w.form", "w.at", "w.window_hash")
+    )
+    met = probes.join(seeds, ["form", "window_hash"]).select(
+        F.col("doc_id").alias("id"), F.col("text_hash").alias("same"), "item_id", "form", (F.col("at") - F.col("item_at")).alias("shift")
     )
     met = stored(met.distinct(), "leaks-met")
-    found = texts.withColumn("text_hash", F.xxhash64("text")).join(
-        met, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("same"))
+    met = met.groupBy("id", "same").agg(F.collect_list(F.struct("item_id", "form", "shift")).alias("hits"))
+    found = texts.join(met, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("same")))
+    found = (
+        found.select("doc_id", "text_hash", "hits", *[_tokens(clean, f).alias(f) for f in FORMS])
+        .select("doc_id", "text_hash", *FORMS, F.explode("hits").alias("hit"))
+        .select("doc_id", "text_hash", "hit.*", _case(F.col("hit.form"), F.col).alias("tokens"))
+        .join(items, ["item_id", "form"])
     )
-    clean = cleaned(F.col("text"))
-    found = found.select(
-        "doc_id", "item_id", "shift", split_words(clean).alias("raw"), split_words(template(clean)).alias("words")
-    ).join(items, "item_id")
-
-    at = F.filter(
-        F.sequence(F.lit(1), F.size("item_words")),
-        lambda k: (k + F.col("shift") >= 1)
-        & (k + F.col("shift") <= F.size("words"))
-        & (F.get("words", k + F.col("shift") - 1) == F.get("item_words", k - 1)),
+
+    def there(k: Column) -> Column:
+        return F.get("tokens", k + F.col("shift") - 1)
+
+    def asked(k: Column) -> Column:
+        return F.get("asked", k - 1)
+
+    equal = F.filter(
+        F.sequence(F.lit(1), F.size("asked")),
+        lambda k: F.when(k + F.col("shift") >= 1, (there(k)["t"] == asked(k)["t"]) | (there(k)["v"] == asked(k)["v"])),
     )
-    found = found.select(
-        "doc_id", "item_id", "shift", "raw", "item_raw", "item_words", at.alias("equal"),
-        (F.size("item_words") - (WINDOW - 1)).alias("item_windows"),
-    )
-    slots = F.transform(
-        F.filter("equal", lambda k: _placeholder(F.get("item_words", k - 1))),
-        lambda k: F.struct(
-            F.lower(F.get("item_raw", k - 1)).alias("asked"), F.lower(F.get("raw", k + F.col("shift") - 1)).alias("found")
+    slots = _let(
+        equal,
+        lambda e: F.struct(
+            F.array_distinct(
+                F.transform(
+                    F.filter(e, lambda k: _placeholder(asked(k)["t"])),
+                    lambda k: F.struct(asked(k)["v"].alias("asked"), there(k)["v"].alias("found")),
+                )
+            ).alias("slots"),
+            _runs(e).alias("runs"),
         ),
     )
-    windows = F.size(
-        F.filter(  # places are increasing, so WINDOW of them in a row end WINDOW - 1 higher
-            F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("equal") - (WINDOW - 1))),
-            lambda k: F.get("equal", k + (WINDOW - 2)) == F.get("equal", k - 1) + (WINDOW - 1),
-        )
-    )
-    found = found.select("doc_id", "item_id", "item_windows", windows.alias("windows"), F.array_distinct(slots).alias("slots"))
-    n = F.size("slots")
-    consistent = (F.size(F.array_distinct("slots.asked")) == n) & (F.size(F.array_distinct("slots.found")) == n)
-    changed = F.size(F.filter("slots", lambda s: s["asked"] != s["found"]))
+    found = found.select("doc_id", "text_hash", "item_id", "n", "shift", "asked", F.explode(F.array(slots)).alias("s"))
+    found = found.select("doc_id", "text_hash", "item_id", "n", "shift", "asked", "s.slots", F.explode("s.runs").alias("run"))
+    m = F.size("slots")
+    consistent = (F.size(F.array_distinct("slots.asked")) == m) & (F.size(F.array_distinct("slots.found")) == m)
+    covered = F.sequence(asked(F.col("run.first"))["a"], asked(F.col("run.last"))["b"] - (WINDOW - 1))
+    changed = F.size(F.filter(F.array_distinct(F.flatten(F.collect_set("slots"))), lambda s: s["asked"] != s["found"]))
+    windows = F.size(F.array_distinct(F.flatten(F.collect_set(covered))))
     return (
-        found.filter(consistent & (F.col("windows") >= min_share * F.col("item_windows")))
+        found.filter(consistent)
+        .groupBy("doc_id", "text_hash", "item_id", "n", "shift")
+        .agg(windows.alias("windows"), changed.alias("changed"), (F.col("n") - (WINDOW - 1)).alias("item_windows"))
+        .filter(F.col("windows") >= min_share * F.col("item_windows"))
         .groupBy("doc_id", "item_id")
-        .agg(
-            F.max(F.struct("windows", (-changed).alias("kept_slots"), "item_windows")).alias("best"),
-        )
+        .agg(F.max(F.struct("windows", (-F.col("changed")).alias("kept_slots"), "item_windows")).alias("best"))
         .select(
             "doc_id", "item_id", F.col("best.windows").cast("long").alias("windows"),
             F.col("best.item_windows").cast("long").alias("item_windows"),

@@ -88,3 +88,17 @@ def test_real_tables(spark):
     texts = [(r["item_id"], r["text"]) for r in benchmark.collect()]
     whole = {(r["doc_id"], i) for r in documents.collect() for i, t in texts if t in (r["text"] or "")}
     assert whole <= got
+
+
+def leaking(docs, spark, rows, questions):
+    return {(r["doc_id"], r["item_id"]): r for r in d.find_leaks(docs(rows), items(spark, questions)).collect()}
+
+
+NAMES_ITEM = "Anna met Berta in Rome while Carl and Dora drove from Bonn to Paris with Emil and Fritz for 3 days"
+
+
+def test_other_capitals(docs, spark):
+    forms = [NAMES_ITEM.lower(), NAMES_ITEM.upper(), NAMES_ITEM.title(), NAMES_ITEM.lower().replace("3", "8")]
+    got = leaking(docs, spark, [(i, f"{PAD} {t}") for i, t in enumerate(forms)] + [(9, PAD)], [(1, NAMES_ITEM)])
+    assert {doc for doc, _ in got} == {0, 1, 2, 3} and got[0, 1]["windows"] == got[0, 1]["item_windows"]
+    assert got[0, 1]["changed_slots"] == 0 and got[3, 1]["changed_slots"] == 1
