@@ -2,13 +2,16 @@
 
 Numbers, names and units become typed placeholders, so a question asked with other numbers or names keeps its template.
 All windows of ``WINDOW`` template words of the benchmark are hash-joined with every ``STRIDE``-th window of each
-document; each pair of document and item found is aligned at its offset and compared word by word, so a copy of
+document; each pair of document and item found is aligned at its offsets and compared word by word, so a copy of
 ``WINDOW + STRIDE - 1`` template words or more always has a window that is joined. A leak must cover ``min_share`` of
-the item's windows, and its slots must be consistent: equal values stay equal and different ones stay different.
+the item's windows within a stretch of at most four times the item, whatever words are put in or left out between the
+parts, and its slots must be consistent: equal values stay equal and different ones stay different.
 
 - Words are cleaned of everything but letters and digits. Names: words of one capital and small letters. Windows are
   joined a second time in small letters, with names as they stand, so copies in other capitals are found; names that are
   changed as well are not known as names there.
+- Placeholders of one kind in a row count as one, so ``New York`` has the template of ``Paris`` and ``twenty five`` that
+  of ``7``; ``450km`` is read as ``450 km``. Windows are counted in words of the item as it stands.
 - Windows of fewer than ``MIN_LITERALS`` words that are no placeholders are not joined, so lists of numbers find nothing.
 - Null or empty text, and items of fewer words than a window, have no windows. Rows that repeat count once. A null
   doc_id is reported as such. Without rows in either table there are no leaks. Further columns are ignored.
@@ -42,8 +45,9 @@ NAMED, FOLDED = FORMS = ("named", "folded")
 
 
 def cleaned(text: Column) -> Column:
-    """Letters, digits and white space."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}\s]+", "")
+    """Letters, digits and white space; a unit behind its number is a word of its own."""
+    clean = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}\s]+", "")
+    return F.regexp_replace(clean, rf"(?<!\S)(\p{{N}}+)((?i:{'|'.join(UNITS)}))(?!\S)", "$1 $2")
 
 
 def split_words(text: Column) -> Column:
@@ -55,12 +59,16 @@ def template(clean: Column, names: bool = True) -> Column:
     units = "|".join(UNITS)
     out = F.lower(F.regexp_replace(clean, r"(?<!\S)\p{Lu}\p{Ll}+(?!\S)", NAME) if names else clean)
     out = F.regexp_replace(out, rf"(?<!\S)(?:\p{{N}}+(?:st|nd|rd|th)?|{'|'.join(NUMBERS)})(?!\S)", NUMBER)
-    out = F.regexp_replace(out, rf"(?<!\S)\p{{N}}+(?:{units})(?!\S)", NUMBER + UNIT)
     return F.regexp_replace(out, rf"(?<!\S){NUMBER}(\s+)(?:{units})(?!\S)", rf"{NUMBER}$1{UNIT}")
 
 
 def _placeholder(word: Column) -> Column:
-    return word.isin(NUMBER, NAME, UNIT, NUMBER + UNIT)
+    return word.isin(NUMBER, NAME, UNIT)
+
+
+def _collapsed(words: Column) -> Column:
+    """A template with one placeholder for several equal ones in a row."""
+    return F.regexp_replace(words, rf"(?<!\S)([{NUMBER}{NAME}{UNIT}])(?:\s+\1)+(?!\S)", "$1")
 
 
 def _let(value: Column, body) -> Column:
@@ -74,17 +82,30 @@ def _case(form: Column, value) -> Column:
 
 
 def _form_words(clean: Column, form: str) -> Column:
-    return split_words(template(clean, form == NAMED))
+    return split_words(_collapsed(template(clean, form == NAMED)))
 
 
 def _tokens(clean: Column, form: str) -> Column:
     """Words of a form: token t, what stands there as v, its first and last place a and b among the words."""
+
+    def built(s: Column, places: Column) -> Column:
+        def token(a: Column, i: Column) -> Column:
+            b = F.coalesce(F.get(places, i + 1) - 1, F.size(s["words"]))
+            v = F.array_join(F.slice(s["raw"], a, b - a + 1), " ")
+            return F.struct(F.get(s["words"], a - 1).alias("t"), v.alias("v"), a.alias("a"), b.alias("b"))
+
+        return F.transform(places, token)
+
+    def firsts(s: Column) -> Column:
+        words = s["words"]
+        return F.filter(
+            F.transform(words, lambda w, i: F.when(~(_placeholder(w) & (i > 0) & (F.get(words, i - 1) == w)), i + 1)),
+            lambda i: i.isNotNull(),
+        )
+
     return _let(
-        F.struct(split_words(F.lower(clean)).alias("raw"), _form_words(clean, form).alias("words")),
-        lambda s: F.transform(
-            s["words"],
-            lambda t, i: F.struct(t.alias("t"), F.get(s["raw"], i).alias("v"), (i + 1).alias("a"), (i + 1).alias("b")),
-        ),
+        F.struct(split_words(F.lower(clean)).alias("raw"), split_words(template(clean, form == NAMED)).alias("words")),
+        lambda s: _let(firsts(s), lambda places: built(s, places)),
     )
 
 
@@ -119,7 +140,7 @@ def _runs(places: Column) -> Column:
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
-    """A row for each document and item that it leaks, at the offset where it has most of it."""
+    """A row for each document and item that it leaks, for the stretch that has most of it."""
     clean = cleaned(F.col("text"))
     forms = F.explode(F.array(*[F.struct(F.lit(f).alias("form"), _tokens(clean, f).alias("asked")) for f in FORMS]))
     items = benchmark.select("item_id", "text").distinct().select("item_id", F.size(split_words(clean)).alias("n"), forms.alias("f"))
@@ -175,16 +196,19 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, min_share: float = MI
             _runs(e).alias("runs"),
         ),
     )
-    found = found.select("doc_id", "text_hash", "item_id", "n", "shift", "asked", F.explode(F.array(slots)).alias("s"))
-    found = found.select("doc_id", "text_hash", "item_id", "n", "shift", "asked", "s.slots", F.explode("s.runs").alias("run"))
+    kept = ("doc_id", "text_hash", "item_id", "n", "shift", "asked", "tokens")
+    found = found.select(*kept, F.explode(F.array(slots)).alias("s"))
+    found = found.select(*kept, "s.slots", F.explode("s.runs").alias("run"))
     m = F.size("slots")
     consistent = (F.size(F.array_distinct("slots.asked")) == m) & (F.size(F.array_distinct("slots.found")) == m)
     covered = F.sequence(asked(F.col("run.first"))["a"], asked(F.col("run.last"))["b"] - (WINDOW - 1))
     changed = F.size(F.filter(F.array_distinct(F.flatten(F.collect_set("slots"))), lambda s: s["asked"] != s["found"]))
     windows = F.size(F.array_distinct(F.flatten(F.collect_set(covered))))
+    stretch = F.floor(there(F.col("run.first"))["a"] / (2 * F.col("n")))  # and the one before, so they overlap by half
     return (
         found.filter(consistent)
-        .groupBy("doc_id", "text_hash", "item_id", "n", "shift")
+        .withColumn("stretch", F.explode(F.array(stretch - 1, stretch)))
+        .groupBy("doc_id", "text_hash", "item_id", "n", "stretch")
         .agg(windows.alias("windows"), changed.alias("changed"), (F.col("n") - (WINDOW - 1)).alias("item_windows"))
         .filter(F.col("windows") >= min_share * F.col("item_windows"))
         .groupBy("doc_id", "item_id")

@@ -102,3 +102,14 @@ def test_other_capitals(docs, spark):
     got = leaking(docs, spark, [(i, f"{PAD} {t}") for i, t in enumerate(forms)] + [(9, PAD)], [(1, NAMES_ITEM)])
     assert {doc for doc, _ in got} == {0, 1, 2, 3} and got[0, 1]["windows"] == got[0, 1]["item_windows"]
     assert got[0, 1]["changed_slots"] == 0 and got[3, 1]["changed_slots"] == 1
+
+
+def test_other_word_counts(docs, spark):
+    item = "A train leaves New York at twenty five past noon and runs 450 km north before it meets the other train near the old mill"
+    w = item.split()
+    changed = item.replace("New York", "Paris").replace("twenty five", "7").replace("450 km", "300km")
+    more = " ".join(w[:8] + ["just"] + w[8:16] + ["quietly"] + w[16:])
+    apart = f"{' '.join(w[:9])} {(PAD + ' ') * 4} {' '.join(w[9:15])} {(PAD + ' ') * 4} {' '.join(w[15:])}"
+    rows = [(0, changed), (1, f"{PAD} {changed} {PAD}"), (2, f"{PAD} {more}"), (3, apart)]
+    got = leaking(docs, spark, rows, [(1, item)])
+    assert set(got) == {(0, 1), (1, 1), (2, 1)} and got[0, 1]["windows"] == got[0, 1]["item_windows"] == len(w) - d.WINDOW + 1
