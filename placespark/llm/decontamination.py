@@ -1,9 +1,8 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
 Numbers, names and units become typed placeholders, so a question asked with other numbers or names keeps its template.
-All windows of ``WINDOW`` template words of the benchmark are hash-joined with every ``STRIDE``-th window of each
-document; each pair of document and item found is aligned at its offsets and compared word by word, so a copy of
-``WINDOW + STRIDE - 1`` template words or more always has a window that is joined. A leak must cover ``min_share`` of
+All windows of ``WINDOW`` template words of the benchmark are hash-joined with all windows of each document; each pair
+of document and item found is aligned at its offsets and compared word by word. A leak must cover ``min_share`` of
 the item's windows within a stretch of at most four times the item, whatever words are put in or left out between the
 parts, and its slots must be consistent: equal values stay equal and different ones stay different.
 
@@ -13,7 +12,9 @@ parts, and its slots must be consistent: equal values stay equal and different o
 - Placeholders of one kind in a row count as one, so ``New York`` has the template of ``Paris`` and ``twenty five`` that
   of ``7``; ``450km`` is read as ``450 km``. Windows are counted in words of the item as it stands.
 - Windows of fewer than ``MIN_LITERALS`` words that are no placeholders are not joined, so lists of numbers find nothing.
-- Null or empty text, and items of fewer words than a window, have no windows. Rows that repeat count once. A null
+- Items without a window that is joined (fewer words than a window, or hardly any but numbers and names) are leaked by
+  documents that have all their words as they stand, in any capitals. An item of one word is leaked by all that have it.
+- Null or empty text has no windows. Rows that repeat count once. A null
   doc_id is reported as such. Without rows in either table there are no leaks. Further columns are ignored.
 """
 
@@ -25,7 +26,6 @@ from pyspark.sql import functions as F
 from placespark.llm.common import stored
 
 WINDOW = 6
-STRIDE = 3
 MIN_LITERALS = 3
 MIN_SHARE = 0.5
 #: Units and number words.
@@ -42,6 +42,8 @@ NUMBERS = (
 NUMBER, NAME, UNIT = "#", "@", "~"
 #: What windows are made of: words with placeholders for names, or in small letters without them.
 NAMED, FOLDED = FORMS = ("named", "folded")
+#: The words as they stand in small letters, for items that have no window to be joined.
+EXACT = "exact"
 
 
 def cleaned(text: Column) -> Column:
@@ -78,10 +80,12 @@ def _let(value: Column, body) -> Column:
 
 def _case(form: Column, value) -> Column:
     """value(f) for the form f of the row."""
-    return F.coalesce(*[F.when(form == f, value(f)) for f in FORMS])
+    return F.coalesce(*[F.when(form == f, value(f)) for f in (*FORMS, EXACT)])
 
 
 def _form_words(clean: Column, form: str) -> Column:
+    if form == EXACT:
+        return split_words(F.lower(clean))
     return split_words(_collapsed(template(clean, form == NAMED)))
 
 
@@ -103,19 +107,22 @@ def _tokens(clean: Column, form: str) -> Column:
             lambda i: i.isNotNull(),
         )
 
+    if form == EXACT:
+        return F.transform(
+            _form_words(clean, form), lambda w, i: F.struct(w.alias("t"), w.alias("v"), (i + 1).alias("a"), (i + 1).alias("b"))
+        )
     return _let(
         F.struct(split_words(F.lower(clean)).alias("raw"), split_words(template(clean, form == NAMED)).alias("words")),
         lambda s: _let(firsts(s), lambda places: built(s, places)),
     )
 
 
-def _windows(words: Column, step: int, form: str) -> Column:
-    """Hashes of every step-th window, with its first place."""
-    last = F.size(words) - (WINDOW - 1)
-    places = F.when(last >= 1, F.sequence(F.lit(1), last, F.lit(step)))
+def _windows(words: Column, form: str, length: int = WINDOW) -> Column:
+    """Hashes of all windows, with their first place."""
+    last = F.size(words) - (length - 1)
     found = F.transform(
-        places,
-        lambda i: F.struct(F.lit(form).alias("form"), i.alias("at"), F.xxhash64(F.slice(words, i, WINDOW)).alias("window_hash")),
+        F.when(last >= 1, F.sequence(F.lit(1), last)),
+        lambda i: F.struct(F.lit(form).alias("form"), i.alias("at"), F.xxhash64(F.slice(words, i, length)).alias("window_hash")),
     )
     return F.coalesce(found, F.array().cast("array<struct<form:string,at:int,window_hash:bigint>>"))
 
@@ -142,23 +149,35 @@ def _runs(places: Column) -> Column:
 def find_leaks(documents: DataFrame, benchmark: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
     """A row for each document and item that it leaks, for the stretch that has most of it."""
     clean = cleaned(F.col("text"))
-    forms = F.explode(F.array(*[F.struct(F.lit(f).alias("form"), _tokens(clean, f).alias("asked")) for f in FORMS]))
+    forms = F.explode(F.array(*[F.struct(F.lit(f).alias("form"), _tokens(clean, f).alias("asked")) for f in (*FORMS, EXACT)]))
     items = benchmark.select("item_id", "text").distinct().select("item_id", F.size(split_words(clean)).alias("n"), forms.alias("f"))
-    items = items.select("item_id", "n", "f.form", "f.asked").filter(F.col("n") >= WINDOW).distinct()
-    places = F.sequence(F.lit(1), F.size("asked") - (WINDOW - 1))
+    items = items.select("item_id", "n", "f.form", "f.asked").filter(F.col("n") >= 1).distinct()
+    items = items.select("*", F.transform("asked", lambda x: x["t"]).alias("words"))
+    places = F.sequence(F.lit(1), F.size("words") - (WINDOW - 1))
     window = F.slice("words", F.col("item_at"), WINDOW)
-    seeds = (
-        items.filter(F.size("asked") >= WINDOW)
-        .select("item_id", "form", F.transform("asked", lambda x: x["t"]).alias("words"), F.explode(places).alias("item_at"))
+    seeds = stored(
+        items.filter((F.col("form") != EXACT) & (F.size("words") >= WINDOW))
+        .select("item_id", "form", "words", F.explode(places).alias("item_at"))
         .filter(F.size(F.filter(window, lambda w: ~_placeholder(w))) >= MIN_LITERALS)
-        .select("item_id", "form", "item_at", F.xxhash64(window).alias("window_hash"))
+        .select("item_id", "form", "item_at", F.xxhash64(window).alias("window_hash")),
+        "leaks-seeds",
+    )
+    first = F.slice("words", 1, WINDOW)
+    exact = stored(
+        items.filter(F.col("form") == EXACT)
+        .join(seeds.select("item_id").distinct(), "item_id", "left_anti")
+        .select("item_id", "form", F.lit(1).alias("item_at"), F.xxhash64(first).alias("window_hash"), F.size(first).alias("length")),
+        "leaks-exact",
     )
-    seeds = stored(seeds, "leaks-seeds")
+    lengths = sorted(r["length"] for r in exact.select("length").distinct().collect())  # WINDOW at most
+    seeds = seeds.unionByName(exact.drop("length"))
 
     texts = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).filter(F.col("text").isNotNull())
+    used = FORMS + ((EXACT,) if lengths else ())
+    windows = [_windows(F.col(f), f) for f in FORMS] + [_windows(F.col(EXACT), EXACT, k) for k in lengths]
     probes = (
-        texts.select("doc_id", "text_hash", *[_form_words(clean, f).alias(f) for f in FORMS])
-        .select("doc_id", "text_hash", F.explode(F.concat(*[_windows(F.col(f), STRIDE, f) for f in FORMS])).alias("w"))
+        texts.select("doc_id", "text_hash", *[_form_words(clean, f).alias(f) for f in used])
+        .select("doc_id", "text_hash", F.explode(F.concat(*windows)).alias("w"))
         .select("doc_id", "text_hash", "w.form", "w.at", "w.window_hash")
     )
     met = probes.join(seeds, ["form", "window_hash"]).select(
@@ -168,8 +187,8 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, min_share: float = MI
     met = met.groupBy("id", "same").agg(F.collect_list(F.struct("item_id", "form", "shift")).alias("hits"))
     found = texts.join(met, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("same")))
     found = (
-        found.select("doc_id", "text_hash", "hits", *[_tokens(clean, f).alias(f) for f in FORMS])
-        .select("doc_id", "text_hash", *FORMS, F.explode("hits").alias("hit"))
+        found.select("doc_id", "text_hash", "hits", *[_tokens(clean, f).alias(f) for f in (*FORMS, EXACT)])
+        .select("doc_id", "text_hash", *FORMS, EXACT, F.explode("hits").alias("hit"))
         .select("doc_id", "text_hash", "hit.*", _case(F.col("hit.form"), F.col).alias("tokens"))
         .join(items, ["item_id", "form"])
     )
@@ -193,7 +212,9 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, min_share: float = MI
                     lambda k: F.struct(asked(k)["v"].alias("asked"), there(k)["v"].alias("found")),
                 )
             ).alias("slots"),
-            _runs(e).alias("runs"),
+            F.when(F.col("form") != EXACT, _runs(e))
+            .when(F.size(e) == F.col("n"), F.array(F.struct(F.lit(1).alias("first"), F.col("n").alias("last"))))
+            .alias("runs"),
         ),
     )
     kept = ("doc_id", "text_hash", "item_id", "n", "shift", "asked", "tokens")
@@ -201,15 +222,17 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, min_share: float = MI
     found = found.select(*kept, "s.slots", F.explode("s.runs").alias("run"))
     m = F.size("slots")
     consistent = (F.size(F.array_distinct("slots.asked")) == m) & (F.size(F.array_distinct("slots.found")) == m)
-    covered = F.sequence(asked(F.col("run.first"))["a"], asked(F.col("run.last"))["b"] - (WINDOW - 1))
+    start = asked(F.col("run.first"))["a"]  # an item shorter than a window is one window
+    covered = F.sequence(start, F.greatest(start, asked(F.col("run.last"))["b"] - (WINDOW - 1)))
     changed = F.size(F.filter(F.array_distinct(F.flatten(F.collect_set("slots"))), lambda s: s["asked"] != s["found"]))
     windows = F.size(F.array_distinct(F.flatten(F.collect_set(covered))))
+    item_windows = F.greatest(F.lit(1), F.col("n") - (WINDOW - 1))
     stretch = F.floor(there(F.col("run.first"))["a"] / (2 * F.col("n")))  # and the one before, so they overlap by half
     return (
         found.filter(consistent)
         .withColumn("stretch", F.explode(F.array(stretch - 1, stretch)))
         .groupBy("doc_id", "text_hash", "item_id", "n", "stretch")
-        .agg(windows.alias("windows"), changed.alias("changed"), (F.col("n") - (WINDOW - 1)).alias("item_windows"))
+        .agg(windows.alias("windows"), changed.alias("changed"), item_windows.alias("item_windows"))
         .filter(F.col("windows") >= min_share * F.col("item_windows"))
         .groupBy("doc_id", "item_id")
         .agg(F.max(F.struct("windows", (-F.col("changed")).alias("kept_slots"), "item_windows")).alias("best"))

@@ -113,3 +113,13 @@ def test_other_word_counts(docs, spark):
     rows = [(0, changed), (1, f"{PAD} {changed} {PAD}"), (2, f"{PAD} {more}"), (3, apart)]
     got = leaking(docs, spark, rows, [(1, item)])
     assert set(got) == {(0, 1), (1, 1), (2, 1)} and got[0, 1]["windows"] == got[0, 1]["item_windows"] == len(w) - d.WINDOW + 1
+
+
+def test_short_items_and_items_of_placeholders(docs, spark):
+    short = ["who wrote the old red book", "who then sold the old red book", "name of the river", "7 8 9 2 4 4 1 0 3 5 7"]
+    questions = list(enumerate(short, 1))
+    rows = [(10 * i + at, f"{' '.join(PAD.split()[:at])} {t.upper()}, {PAD}") for i, t in questions for at in range(4)]
+    rows += [(90, "name of a river"), (91, "7 8 9 2 4 4 1 0 3 5 8"), (92, "who wrote the new red book"), (93, short[2])]
+    got = leaking(docs, spark, rows, questions)
+    assert set(got) == {(10 * i + at, i) for i, _ in questions for at in range(4)} | {(93, 3)}
+    assert all(r["windows"] == r["item_windows"] == max(1, len(short[i - 1].split()) - d.WINDOW + 1) for (_, i), r in got.items())
