@@ -4,7 +4,8 @@ Numbers, names and units become typed placeholders, so a question asked with oth
 All windows of ``WINDOW`` template words of the benchmark are hash-joined with all windows of each document; each pair
 of document and item found is aligned at its offsets and compared word by word. A leak must cover ``min_share`` of
 the item's windows within a stretch of at most four times the item, whatever words are put in or left out between the
-parts, and its slots must be consistent: equal values stay equal and different ones stay different.
+parts. Only runs of equal template words with consistent slots count: within a run, equal values stay equal and different
+names stay different (new numbers may happen to be equal). What is there word for word counts whatever surrounds it.
 
 - Words are cleaned of everything but letters and digits. Names: words of one capital and small letters. Windows are
   joined a second time in small letters, with names as they stand, so copies in other capitals are found; names that are
@@ -203,25 +204,30 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, min_share: float = MI
         F.sequence(F.lit(1), F.size("asked")),
         lambda k: F.when(k + F.col("shift") >= 1, (there(k)["t"] == asked(k)["t"]) | (there(k)["v"] == asked(k)["v"])),
     )
-    slots = _let(
-        equal,
-        lambda e: F.struct(
-            F.array_distinct(
-                F.transform(
-                    F.filter(e, lambda k: _placeholder(asked(k)["t"])),
-                    lambda k: F.struct(asked(k)["v"].alias("asked"), there(k)["v"].alias("found")),
-                )
-            ).alias("slots"),
-            F.when(F.col("form") != EXACT, _runs(e))
-            .when(F.size(e) == F.col("n"), F.array(F.struct(F.lit(1).alias("first"), F.col("n").alias("last"))))
-            .alias("runs"),
-        ),
+    def inner(run: Column) -> Column:
+        """The run without placeholders at its ends, which may be another text's."""
+        words = F.filter(F.sequence(run["first"], run["last"]), lambda k: ~_placeholder(asked(k)["t"]))
+        return F.struct(F.get(words, 0).alias("first"), F.get(words, F.size(words) - 1).alias("last"))
+
+    def runs(e: Column) -> Column:
+        verbatim = F.filter(e, lambda k: there(k)["v"] == asked(k)["v"])
+        found = _let(_runs(e), lambda r: F.concat(r, F.transform(F.filter(r, lambda x: F.size(slots(x)) > 0), inner), _runs(verbatim)))
+        return F.filter(F.array_distinct(found), lambda x: x["last"] - x["first"] >= WINDOW - 1)
+
+    def slots(run: Column) -> Column:
+        places = F.filter(F.sequence(run["first"], run["last"]), lambda k: _placeholder(asked(k)["t"]))
+        slot = lambda k: F.struct(asked(k)["t"].alias("kind"), asked(k)["v"].alias("asked"), there(k)["v"].alias("found"))
+        return F.array_distinct(F.transform(places, slot))
+
+    whole = F.when(F.size("equal") == F.col("n"), F.array(F.struct(F.lit(1).alias("first"), F.col("n").alias("last"))))
+    kept = ("doc_id", "text_hash", "item_id", "form", "n", "shift", "asked", "tokens")
+    found = found.select(*kept, F.explode(F.array(equal)).alias("equal"))
+    found = found.select(*kept, F.explode(F.when(F.col("form") == EXACT, whole).otherwise(runs(F.col("equal")))).alias("run"))
+    found = found.select(*kept, "run", F.explode(F.array(slots(F.col("run")))).alias("slots"))
+    names = F.filter("slots", lambda s: s["kind"] == NAME)
+    consistent = (F.size(F.array_distinct("slots.asked")) == F.size("slots")) & (
+        F.size(F.array_distinct(F.transform(names, lambda s: s["found"]))) == F.size(names)
     )
-    kept = ("doc_id", "text_hash", "item_id", "n", "shift", "asked", "tokens")
-    found = found.select(*kept, F.explode(F.array(slots)).alias("s"))
-    found = found.select(*kept, "s.slots", F.explode("s.runs").alias("run"))
-    m = F.size("slots")
-    consistent = (F.size(F.array_distinct("slots.asked")) == m) & (F.size(F.array_distinct("slots.found")) == m)
     start = asked(F.col("run.first"))["a"]  # an item shorter than a window is one window
     covered = F.sequence(start, F.greatest(start, asked(F.col("run.last"))["b"] - (WINDOW - 1)))
     changed = F.size(F.filter(F.array_distinct(F.flatten(F.collect_set("slots"))), lambda s: s["asked"] != s["found"]))

@@ -123,3 +123,16 @@ def test_short_items_and_items_of_placeholders(docs, spark):
     got = leaking(docs, spark, rows, questions)
     assert set(got) == {(10 * i + at, i) for i, _ in questions for at in range(4)} | {(93, 3)}
     assert all(r["windows"] == r["item_windows"] == max(1, len(short[i - 1].split()) - d.WINDOW + 1) for (_, i), r in got.items())
+
+
+def test_slots_of_runs(docs, spark):
+    item = "Anna buys 5 red apples and 3 green pears at the old market in Rome and then walks home to the small house where Berta waits for Anna"
+    first = "Anna buys 5 red apples and 3 green pears at the old market in Rome and then walks home to the small"
+    renamed = first.replace("Anna", "Emma").replace("Rome", "Paris")
+    rows = [
+        (0, f"{first} cat but Rome sees this Berta"), (1, f"{first} house where Carla waits for Dora"), (2, f"{renamed} cat but Emma sees for Berta"),
+        (3, item.replace("5", "4").replace("3", "4").replace("Anna", "Emma").replace("Berta", "Carla").replace("Rome", "Bonn")),
+        (4, item.replace("5", "4").replace("Anna", "Emma", 1).replace("Rome", "Bonn").replace("Berta", "Bonn").replace("apples", "plums")),
+        (5, "Anna 5 Berta 6 Carla 7 Dora 8 " + item.split("old")[0]),
+    ]
+    assert {doc for doc, _ in leaking(docs, spark, rows, [(1, item)])} == {0, 1, 2, 3}
