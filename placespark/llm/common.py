@@ -67,8 +67,10 @@ def as_array(values) -> pa.Array:
 
 
 def strings(column) -> pa.Array:
-    """Texts with null as the empty text."""
-    return pc.fill_null(pc.cast(as_array(column), pa.large_string()), "")
+    """Texts with null as the empty text, offsets from 0: some compute functions misread arrays that begin further on."""
+    texts = pc.fill_null(pc.cast(as_array(column), pa.large_string()), "")
+    offsets, data = raw(texts)
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(data))
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -8,6 +8,7 @@ min(l, l') shingles within the prefixes of that length, and is then verified on
 - Order: rarer shingles first by a count sketch of fixed size over all documents, then by hash.
 - A shared shingle only counts where enough of both sets is left from its place on.
 - Equal sets are one class; only classes are joined, and their members get what the class gets.
+- Before shared shingles are counted, bit sets of the prefixes tell apart classes that cannot share as many as are asked.
 - Links in a large group are found as stars: each class is first verified with the earliest and latest class that share
   most of its prefix. All candidate pairs that then still lie in different components are verified, so no component is
   missed, and a group of near copies does not become all its pairs.
@@ -15,7 +16,8 @@ min(l, l') shingles within the prefixes of that length, and is then verified on
 
 Null text, and text without words, has the empty set and is linked with nothing; fewer than five words are one shingle.
 Rows that repeat a doc_id are documents each; rows without one are grouped, but name no component unless it has no
-other. An empty table gives no rows; further columns are ignored.
+other. An empty table gives no rows; further columns are ignored, or kept by `keep_first`. Documents must not change while
+they are read: sets that are not found again raise an error.
 """
 
 from __future__ import annotations
@@ -35,10 +37,12 @@ WORDS = 5
 PERCENT = 80
 LONGEST = 4
 CELLS = 1 << 18
+#: Longs of the bit set by which classes that cannot share enough tokens are told apart before they are counted.
+MASKS = 4
 #: Cost of verifying a candidate, in list entries read.
 VERIFY = 8.0
 
-DOCS = "row long, doc_id long, n_shingles long, s1 long, s2 long, level_limit int, prefix array<long>"
+DOCS = "row long, doc_id long, text_hash long, n_shingles long, s1 long, s2 long, level_limit int, prefix array<long>"
 
 
 def needed(n: np.ndarray) -> np.ndarray:
@@ -48,10 +52,10 @@ def needed(n: np.ndarray) -> np.ndarray:
 
 def shingles(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of all shingles of the texts, repeated ones too."""
-    rows, found = words(pc.ascii_lower(strings(piece["text"])))
+    rows, found = words(strings(piece["text"]))
     rows = rows.astype(np.int64)
     codes, distinct = coded(found)
-    each = hashed(distinct)[codes]
+    each = hashed(pc.ascii_lower(distinct))[codes]
     count = np.bincount(rows, minlength=piece.num_rows)
     total = np.zeros(len(each), np.uint64)
     first = np.repeat(np.cumsum(count) - count, count)
@@ -147,14 +151,14 @@ def prefixes(documents: DataFrame, counts: np.ndarray) -> DataFrame:
                 )
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.arange(number, number + n)), piece["doc_id"], pa.array(size, pa.int64()),
+                        pa.array(np.arange(number, number + n)), piece["doc_id"], piece["text_hash"], pa.array(size, pa.int64()),
                         pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(limits, pa.int32()), lists,
                     ],
-                    ["row", "doc_id", "n_shingles", "s1", "s2", "level_limit", "prefix"],
+                    ["row", "doc_id", "text_hash", "n_shingles", "s1", "s2", "level_limit", "prefix"],
                 )
                 number += n
 
-    return documents.select("doc_id", "text").mapInArrow(task, DOCS)
+    return documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(task, DOCS)
 
 
 def _postings(docs: DataFrame) -> DataFrame:
@@ -171,6 +175,20 @@ def _reach(n: str, place: str, n_other: str, place_other: str, matches: int | Co
     )
 
 
+def _mask_columns() -> list[Column]:
+    """A set of bits by token, and the number of tokens."""
+    bit = F.expr(f"shiftleft(1L, cast(pmod(shiftright(token, {MASKS.bit_length()}), 64) as int))")
+    own = F.pmod(F.col("token"), F.lit(MASKS))
+    bits = [F.bit_or(F.when(own == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"mask{i}") for i in range(MASKS)]
+    return [*bits, F.count("*").alias("tokens")]
+
+
+def _common(a: str, b: str) -> Column:
+    """Bits that both masks have. Tokens that share a bit with another one are beyond that, at most the spare ones."""
+    both = [F.bit_count(F.col(a.format(i)).bitwiseAND(F.col(b.format(i)))) for i in range(MASKS)]
+    return sum(both[1:], both[0])
+
+
 def _sets(documents: DataFrame, classes: DataFrame) -> DataFrame:
     """(class, sorted set) of these classes, from the text of their first document."""
 
@@ -180,15 +198,15 @@ def _sets(documents: DataFrame, classes: DataFrame) -> DataFrame:
                 rows, tokens = distinct_sets(*shingles(piece))
                 size = np.bincount(rows, minlength=piece.num_rows)
                 offsets = np.append(0, np.cumsum(size))
-                same = []
                 for i, (s1, s2) in enumerate(zip(piece["s1"].to_pylist(), piece["s2"].to_pylist(), strict=True)):
-                    same.append(signature(tokens[offsets[i] : offsets[i + 1]]) == (s1, s2))
+                    if signature(tokens[offsets[i] : offsets[i + 1]]) != (s1, s2):
+                        raise ValueError("a document's shingles are not those it had before: its text has changed meanwhile")
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens.astype(np.int64)))
-                found = pa.RecordBatch.from_arrays([piece["cid"], lists], ["cid", "tokens"])
-                yield found.filter(pa.array(same, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([piece["cid"], lists], ["cid", "tokens"])
 
-    wanted = classes.select("cid", "s1", "s2", F.col("first").alias("id"))
-    texts = documents.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("id")))
+    wanted = classes.select("cid", "s1", "s2", F.col("first").alias("id"), F.col("text_hash").alias("same"))
+    texts = documents.select("doc_id", "text")
+    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("same")))
     found = texts.select("cid", "s1", "s2", "text").mapInArrow(task, "cid long, tokens array<long>")
     return stored(found, "join-sets")
 
@@ -217,9 +235,10 @@ def links(documents: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         docs.filter("n_shingles > 0")
         .groupBy("s1", "s2")
         .agg(
-            F.min("row").alias("cid"), F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"),
-            F.max("level_limit").alias("level_limit"),
-        ),
+            F.min("row").alias("cid"), F.max("n_shingles").alias("n"), F.max("level_limit").alias("level_limit"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")).alias("of"),
+        )
+        .select("s1", "s2", "cid", "n", "level_limit", F.col("of.doc_id").alias("first"), F.col("of.text_hash").alias("text_hash")),
         "join-classes",
     )
     postings = _postings(docs)
@@ -228,8 +247,10 @@ def links(documents: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = stored(
         shared.join(classes, ["s1", "s2"]).select("token", "cid", "first", "n", "place", "level_limit"), "join-shared"
     )
-    nodes = shared.select("cid").distinct()
+    nodes = stored(shared.select("cid").distinct(), "join-nodes")
     sets = _sets(documents, classes.join(nodes, "cid"))
+    if lost := nodes.join(sets, "cid", "left_anti").count():
+        raise ValueError(f"{lost} sets were not found again: the documents have changed meanwhile")
 
     ends = shared.groupBy("token").agg(
         F.min_by("cid", F.struct("first", "cid")).alias("earliest"), F.max_by("cid", F.struct("first", "cid")).alias("latest")
@@ -253,19 +274,25 @@ def links(documents: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         grouped.join(mixed_tokens.select("token"), "token").select("token", "root", "cid", "n", "place", "level_limit"),
         "join-mixed",
     )
+    masks = grouped.groupBy("cid").agg(*_mask_columns())
+    masked = stored(grouped.join(masks, "cid").withColumn("spare", F.col("tokens") - _common("mask{}", "mask{}")), "join-masked")
     of = grouped.groupBy("token", "root", "n").agg(F.min("place").alias("place"))
     left, right = of.toDF("token", "root_a", "n_a", "place_a"), of.toDF("token", "root_b", "n_b", "place_b")
     roots = left.join(
         right, (left["token"] == right["token"]) & F.expr("root_a < root_b") & _reach("n_a", "place_a", "n_b", "place_b", LONGEST)
     ).select(left["token"], "root_a", "n_a", "root_b", "n_b")
-    left = grouped.toDF("token", "root_a", "a", "n_a", "place_a", "limit_a")
-    right = grouped.toDF("token", "root_b", "b", "n_b", "place_b", "limit_b")
+    columns = ["token", "root", "cid", "n", "place", "level_limit", *(f"mask{i}" for i in range(MASKS)), "spare"]
+    left, right = (
+        masked.select("token", *(F.col(c).alias({"cid": x, "level_limit": f"limit_{x}"}.get(c, f"{c}_{x}")) for c in columns[1:]))
+        for x in "ab"
+    )
     asked = F.least("limit_a", "limit_b")
     level = {x: F.col(f"place_{x}") - F.floor(F.col(f"n_{x}") * (100 - PERCENT) / 100) + 1 for x in "ab"}
     crossing = (
         roots.join(left, ["token", "root_a", "n_a"])
         .join(right, ["token", "root_b", "n_b"])
         .filter((level["a"] <= asked) & (level["b"] <= asked) & _reach("n_a", "place_a", "n_b", "place_b", asked))
+        .filter(_common("mask{}_a", "mask{}_b") + F.least("spare_a", "spare_b") >= asked)
         .groupBy("a", "b", asked.alias("asked"))
         .agg(F.count("*").alias("n_shared"))
         .filter("n_shared >= asked")
@@ -273,32 +300,40 @@ def links(documents: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classes, first_links.union(_verified(crossing, sets))
 
 
-def group(documents: DataFrame) -> DataFrame:
-    """Set size and component of each document."""
+def _grouped(documents: DataFrame) -> DataFrame:
+    """Set size and component of each document, with the hash of its text, and whether it stands for its component."""
     docs = stored(prefixes(documents, sketch(documents)), "join-docs")
     classes, found = links(documents, docs)
     groups = components(found)
-    named = classes.select("cid", "s1", "s2", "first").join(groups, F.col("cid") == F.col("node"), "left")
+    named = classes.select("cid", "s1", "s2", "first", "text_hash").join(groups, F.col("cid") == F.col("node"), "left")
     named = named.withColumn("root", F.coalesce("root", "cid"))
-    names = named.groupBy(F.col("root").alias("of")).agg(F.min("first").alias("name"))
-    named = stored(named.join(names, F.col("root") == F.col("of")).select("s1", "s2", "name"), "join-names")
-    joined = docs.select("doc_id", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("name")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"))
+    top = F.min(F.struct(F.col("first").isNull().alias("nameless"), F.col("first").alias("name"), F.col("text_hash").alias("same")))
+    names = named.groupBy(F.col("root").alias("of")).agg(top.alias("top"))
+    named = named.join(names, F.col("root") == F.col("of")).select("s1", "s2", "top.name", "top.same")
+    joined = docs.select("doc_id", "text_hash", "n_shingles", "s1", "s2").join(stored(named, "join-names"), ["s1", "s2"], "left")
+    has = F.col("n_shingles") > 0
+    component = F.when(has, F.col("name")).otherwise(F.col("doc_id"))
+    stands = ~has | (F.col("doc_id").eqNullSafe(F.col("name")) & (F.col("text_hash") == F.col("same")))
+    return joined.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), stands.alias("stands"))
+
+
+def group(documents: DataFrame) -> DataFrame:
+    """Set size and component of each document."""
+    return _grouped(documents).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_first(documents: DataFrame) -> DataFrame:
-    """The documents without those that are in the component of a smaller doc_id; of rows that repeat a doc_id and text,
-    one. Rows without a doc_id stay."""
-    found = stored(group(documents), "join-groups")
-    later = stored(found.filter("component_id < doc_id").select("doc_id").distinct(), "join-later")
-    kept = documents.join(later, "doc_id", "left_anti").select(documents.columns)
-    twice = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    twice = stored(twice, "join-twice")
-    if twice.limit(1).count():  # without repeated ids the step below changes nothing, and it moves all texts
-        again = kept.join(twice, "doc_id", "left_semi").select(documents.columns).dropDuplicates(["doc_id", "text"])
-        kept = kept.join(twice, "doc_id", "left_anti").select(documents.columns).unionByName(again)
-    return kept
+    """One document of each component, that of the smallest doc_id (rows without one last), and all that have no words.
+    Each row is judged by its own text; of rows that repeat a doc_id and text, one stays."""
+    inner = documents.select(F.struct(*documents.columns).alias("doc"), "doc_id", F.xxhash64("text").alias("text_hash"))
+    found = _grouped(documents).groupBy("doc_id", "text_hash").agg(F.every("stands").alias("stands"), F.max("n_shingles").alias("n"), F.count("*").alias("times"))
+    found = stored(found, "join-found").withColumnsRenamed({"doc_id": "id", "text_hash": "same"})
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("same"))
+    again = F.col("stands") & (F.col("times") > 1) & ((F.col("n") > 0) | F.col("id").isNotNull())
+    left = stored(found.filter(~F.col("stands") | again).select("id", "same"), "join-left")
+    kept = inner.join(left, same, "left_anti").select("doc.*")
+    repeated = inner.join(stored(found.filter(again).select("id", "same"), "join-again"), same, "left_semi")
+    return kept.unionByName(repeated.groupBy("doc_id", "text_hash").agg(F.any_value("doc").alias("doc")).select("doc.*"))
 
 
 ORACLE = rf"""

@@ -81,6 +81,31 @@ def test_same_as_sql_and_kept(docs):
     assert set(got) == firsts and len(got) == len(firsts)
 
 
+def test_one_batch_of_many_slices(spark):
+    """Slices of a batch begin somewhere in its buffers; sets of later slices must not depend on that."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghiJKLM") for _ in range(r.randint(3, 9)))
+    pool = [" ".join(word() for _ in range(1200)) for _ in range(40)]
+    rows = []
+    for i in range(2400):
+        text = pool[i % 40] if i % 3 == 0 else " ".join(word() for _ in range(1100))
+        rows.append((i, text.lower() if i % 2 else text))
+    assert sum(len(t) for _, t in rows) > 16 << 20
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {d: c for d, _, c in similarity_join.group(df).collect()}
+    firsts = {}
+    assert got == {i: firsts.setdefault(i % 40, i) if i % 3 == 0 else i for i, _ in rows}
+
+
+def test_judged_by_own_text(docs):
+    text = " ".join(f"w{i}x" for i in range(40))
+    other = " ".join(f"v{i}y" for i in range(40))
+    rows = [(1, text), (2, text + " end"), (2, other), (None, text), (None, "alone"), (None, "Alone"), (5, ""), (None, ""), (None, None)]
+    kept = sorted(((r["doc_id"], r["text"]) for r in similarity_join.keep_first(docs(rows)).collect()), key=str)
+    assert [k for k in kept if (k[1] or "").lower() != "alone"] == sorted([(1, text), (2, other), (5, ""), (None, ""), (None, None)], key=str)
+    assert sum((k[1] or "").lower() == "alone" for k in kept) == 1
+
+
 def test_levels_are_complete():
     """Any two similar sets share enough within the prefixes of the smaller of any two lengths."""
     r = np.random.default_rng(3)
