@@ -19,6 +19,7 @@ repeat are packed each; an empty table gives no pieces; further columns are igno
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -49,19 +50,34 @@ PIECES = (
 _LOOSE = r"^ | $|[\s\v\x1c-\x1f\x85\pZ] | [\s\v\x1c-\x1f\x85\p{Zl}\p{Zp}\p{Zs}]"
 
 
+def _added_pattern(token: dict) -> str:
+    """An added token, with the spaces that it takes along and the words that it must not be part of."""
+    body = "(" + re.escape(token["content"]) + ")"
+    if token.get("single_word"):
+        body = rf"(?<!\w){body}(?!\w)"
+    return (r"\s*" if token.get("lstrip") else "") + body + (r"\s*" if token.get("rstrip") else "")
+
+
 class Encoder:
     """Ids of texts by a byte-level BPE file (JSON), distinct words once.
 
     Such a tokenizer never joins a character to a space after it, so a text with single spaces only is the sequence of
     its space-led words. Other texts are encoded whole. In these files the ids are the ranks of the merges, which is
-    checked here, so the ranks are all that the encoder needs. Strings of special tokens are ordinary text.
+    checked here, so the ranks are all that the encoder needs. Strings of the file's added tokens get those tokens' ids, as
+    the file's own library does by default; with ``encode_special_tokens`` they are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, encode_special_tokens: bool = False):
         import tiktoken
 
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+            content = json.load(file)
+        model = content["model"]
+        if content.get("normalizer"):
+            raise ValueError(f"{path}: texts would be normalised before they are encoded")
+        added = [t for t in content.get("added_tokens", []) if not (encode_special_tokens and t["special"])]
+        self._added = {t["content"]: t["id"] for t in added}
+        self._cut = re.compile("|".join(map(_added_pattern, sorted(added, key=lambda t: -len(t["content"]))))) if added else None
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
         merged = [model["vocab"][a + b] for a, b in pairs]
         if model["type"] != "BPE" or any(x >= y for x, y in pairwise(merged)):
@@ -69,9 +85,20 @@ class Encoder:
         ranks = dict(byte_level_pieces(path))
         self._encode = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+    def _whole(self, text: str) -> list[int]:
+        """Ids of a text, cut at added tokens first."""
+        out, at = [], 0
+        for found in self._cut.finditer(text) if self._cut else ():
+            out += self._encode(text[at : found.start()])
+            out.append(self._added[found[found.lastindex]])
+            at = found.end()
+        return out + self._encode(text[at:])
+
     def ids(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text, in order."""
         loose = pc.match_substring_regex(texts, _LOOSE)
+        for token in self._added:
+            loose = pc.or_(loose, pc.match_substring(texts, token))
         lists = pc.split_pattern(pc.if_else(loose, "", texts), " ")
         ends = pc.cumulative_sum(pc.list_value_length(lists)).to_numpy(zero_copy_only=False).astype(np.int64)
         flat = lists.flatten()
@@ -87,7 +114,7 @@ class Encoder:
         begin = 0
         for whole, end, text in zip(loose.to_pylist(), ends.tolist(), texts, strict=True):
             if whole:
-                yield np.array(self._encode(text.as_py()), "<u4")
+                yield np.array(self._whole(text.as_py()), "<u4")
             else:
                 own = codes[begin:end]
                 n = lengths[own]
@@ -211,11 +238,13 @@ def pack(
     queued = by_part.join(mapping, by_part["source"].eqNullSafe(mapping["source"]), "left").select(
         by_part["source"], "part", "n", F.coalesce("queue", F.lit(rest_queue)).alias("queue")
     )
-    places = queued.select(
-        "source", "part", "queue",
-        (F.sum("n").over(Window.partitionBy("queue").orderBy("part", "source")) - F.col("n")).alias("base"),
-    )
-    places = stored(places, "packing-places")
+    queued = stored(queued, "packing-queued")  # sources of a part follow each other, so running sums are two short ones
+    inner = F.sum("n").over(Window.partitionBy("queue", "part").orderBy("source")) - F.col("n")
+    parts = queued.groupBy("queue", "part").agg(F.sum("n").alias("of_part"))
+    outer = F.sum("of_part").over(Window.partitionBy("queue").orderBy("part")) - F.col("of_part")
+    parts = parts.select("queue", "part", outer.alias("before"))
+    places = queued.withColumn("inner", inner).join(parts, ["queue", "part"])
+    places = stored(places.select("source", "part", "queue", (F.col("before") + F.col("inner")).alias("base")), "packing-places")
 
     def task(batches):
         at: dict[int, int] = {}

@@ -1,6 +1,7 @@
 import zlib
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -12,6 +13,7 @@ TEXTS = [
     None, "", " ", "a", "one two  three", "tab\tand \n newline \n", " lead", "trail ", "x  y z", "don't stop, it's",
     "same words", "same words", "wörter für  alle\n\nzeilen", "123 456,789 " * 900, "long " * 5000, "z" * 9000,
 ]
+SPECIAL = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>  b <|endoftext|", "one two <|endoftext|>"]
 
 
 def checked(rows, pieces, window):
@@ -62,6 +64,20 @@ def test_round_trip_and_shares(docs, window):
                 assert abs(served[source] - n * window * total / everything) <= 2
 
 
+def test_special_tokens(docs):
+    rows = [(i, t, "ab"[i % 2]) for i, t in enumerate(SPECIAL * 2)]
+    checked(rows, packing.pack(docs(rows), PATH, 16).collect(), 16)
+    assert [x.tolist() for x in packing.Encoder(PATH).ids(pa.array(SPECIAL[:1], pa.large_string()))] == [[31373, 220, 50256, 995]]
+
+
+def test_special_tokens_as_text():
+    tokenizer = Tokenizer.from_file(PATH)
+    tokenizer.encode_special_tokens = True
+    texts = pa.array([t or "" for t in TEXTS + SPECIAL], pa.large_string())
+    got = packing.Encoder(PATH, encode_special_tokens=True).ids(texts)
+    assert [x.tolist() for x in got] == [x.ids for x in tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+
+
 def test_target_then_the_rest(docs):
     rows = [(i, "word " * 300, "ab"[i % 4 == 0]) for i in range(40)] + [(99, "more " * 40, "c")]
     pieces = packing.pack(docs(rows), PATH, 64, {"a": 1.0, "b": 3.0}, rest=0.1).collect()
