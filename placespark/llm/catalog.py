@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from placespark.llm import decontamination, language, packing, quality, quality_rules, similarity_join, suffix_dedup, token_counts, toxicity, warc
+from placespark.llm import decontamination, language, mixing, packing, quality, quality_rules, similarity_join, suffix_dedup, token_counts, toxicity, warc
 from placespark.llm.common import table
 
 
@@ -54,13 +54,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_warc, op2_token_counts, op3_quality, op4_toxicity, op5_suffix_dedup, op6_quality_rules, op7_language, op8_decontamination,
-        op9_similarity_join, op10_packing,
+        op9_similarity_join, op10_packing, op11_mixing,
     )
 }
 ORACLES = {
     "op1_warc": warc.ORACLE, "op5_suffix_dedup": suffix_dedup.ORACLE, "op6_quality_rules": quality_rules.oracle(), "op9_similarity_join": similarity_join.ORACLE,
+    "op11_mixing": mixing.ORACLE,
 }
