@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from placespark.llm import decontamination, language, mixing, packing, quality, quality_rules, similarity_join, suffix_dedup, token_counts, toxicity, warc
+from placespark.llm import (
+    conversation_trie, decontamination, hard_negatives, language, mixing, packing, quality, quality_rules, similarity_join, suffix_dedup,
+    token_counts, toxicity, warc,
+)
 from placespark.llm.common import table
 
 
@@ -58,14 +61,23 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.nodes(conversation_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_warc, op2_token_counts, op3_quality, op4_toxicity, op5_suffix_dedup, op6_quality_rules, op7_language, op8_decontamination,
         op9_similarity_join, op10_packing, op11_mixing,
+        op12_hard_negatives, op13_conversation_trie,
     )
 }
 ORACLES = {
     "op1_warc": warc.ORACLE, "op5_suffix_dedup": suffix_dedup.ORACLE, "op6_quality_rules": quality_rules.oracle(), "op9_similarity_join": similarity_join.ORACLE,
-    "op11_mixing": mixing.ORACLE,
+    "op11_mixing": mixing.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE, "op13_conversation_trie": conversation_trie.ORACLE,
 }
