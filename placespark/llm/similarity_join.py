@@ -162,8 +162,8 @@ def prefixes(documents: DataFrame, counts: np.ndarray) -> DataFrame:
 
 
 def _postings(docs: DataFrame) -> DataFrame:
-    """(token, class, place) of every prefix shingle."""
-    return docs.select("s1", "s2", F.posexplode("prefix").alias("place", "token"))
+    """(token, class, place) of every prefix shingle, from one document of each class."""
+    return docs.select(F.col("row").alias("cid"), F.posexplode("prefix").alias("place", "token"))
 
 
 def _reach(n: str, place: str, n_other: str, place_other: str, matches: int | Column) -> Column:
@@ -241,11 +241,11 @@ def links(documents: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .select("s1", "s2", "cid", "n", "level_limit", F.col("of.doc_id").alias("first"), F.col("of.text_hash").alias("text_hash")),
         "join-classes",
     )
-    postings = _postings(docs)
-    tokens = postings.groupBy("token").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).filter("low < high")
-    shared = postings.join(tokens.select("token"), "token").distinct()
+    postings = _postings(docs.join(classes.select("cid"), F.col("row") == F.col("cid"), "left_semi"))
+    tokens = postings.groupBy("token").count().filter("count > 1")
+    shared = stored(postings.join(tokens.select("token"), "token"), "join-postings")
     shared = stored(
-        shared.join(classes, ["s1", "s2"]).select("token", "cid", "first", "n", "place", "level_limit"), "join-shared"
+        shared.join(classes, "cid").select("token", "cid", "first", "n", "place", "level_limit"), "join-shared"
     )
     nodes = stored(shared.select("cid").distinct(), "join-nodes")
     sets = _sets(documents, classes.join(nodes, "cid"))
