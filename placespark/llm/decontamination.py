@@ -29,6 +29,8 @@ from placespark.llm.common import stored
 WINDOW = 6
 MIN_LITERALS = 3
 MIN_SHARE = 0.5
+#: Longs of the bit set of the benchmark's words.
+CELLS = 1 << 12
 #: Units and number words.
 UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ounce ounces pound"
@@ -118,13 +120,41 @@ def _tokens(clean: Column, form: str) -> Column:
     )
 
 
-def _windows(words: Column, form: str, length: int = WINDOW) -> Column:
-    """Hashes of all windows, with their first place."""
-    last = F.size(words) - (length - 1)
-    found = F.transform(
-        F.when(last >= 1, F.sequence(F.lit(1), last)),
-        lambda i: F.struct(F.lit(form).alias("form"), i.alias("at"), F.xxhash64(F.slice(words, i, length)).alias("window_hash")),
+def _bits(words: DataFrame) -> Column:
+    """A constant of ``CELLS`` longs that has a bit for each word; with many words all bits are set, and nothing is told apart."""
+    h = F.xxhash64("word")
+    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(word), 64) as int))")
+    cells = words.select(F.pmod(F.shiftright(h, 6), F.lit(CELLS)).alias("cell"), bit.alias("bit"))
+    found = {r["cell"]: r["bits"] for r in cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).collect()}  # CELLS rows at most
+    text = ",".join(str(found.get(i, 0)) for i in range(CELLS))  # one constant for the optimizer, not CELLS of them
+    return F.split(F.lit(text), ",").cast("array<bigint>")
+
+
+def _known(bits: Column, word: Column) -> Column:
+    """Whether a word may be one of the benchmark's."""
+    return _let(
+        F.xxhash64(word),
+        lambda h: F.getbit(F.get(bits, F.pmod(F.shiftright(h, 6), F.lit(CELLS)).cast("int")), F.pmod(h, F.lit(64)).cast("int")) == 1,
     )
+
+
+def _windows(words: Column, form: str, bits: Column, length: int = WINDOW) -> Column:
+    """Hashes of the windows of words that the benchmark has, with their first place; others cannot be joined."""
+    last = F.size(words) - (length - 1)
+
+    def full(flags: Column, i: Column) -> Column:
+        out = F.get(flags, i + (length - 2))
+        for k in reversed(range(length - 1)):
+            out = out & F.get(flags, i + (k - 1))
+        return out
+
+    def hashed(flags: Column) -> Column:
+        return F.transform(
+            F.filter(F.when(last >= 1, F.sequence(F.lit(1), last)), lambda i: full(flags, i)),
+            lambda i: F.struct(F.lit(form).alias("form"), i.alias("at"), F.xxhash64(F.slice(words, i, length)).alias("window_hash")),
+        )
+
+    found = _let(F.transform(words, lambda w: _known(bits, w)), hashed)
     return F.coalesce(found, F.array().cast("array<struct<form:string,at:int,window_hash:bigint>>"))
 
 
@@ -147,8 +177,8 @@ def _runs(places: Column) -> Column:
     )
 
 
-def find_leaks(documents: DataFrame, benchmark: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
-    """A row for each document and item that it leaks, for the stretch that has most of it."""
+def _leaks(documents: DataFrame, benchmark: DataFrame, min_share: float) -> DataFrame:
+    """(doc_id, text_hash, item_id, best) for each text and item that it leaks, for the stretch that has most of it."""
     clean = cleaned(F.col("text"))
     forms = F.explode(F.array(*[F.struct(F.lit(f).alias("form"), _tokens(clean, f).alias("asked")) for f in (*FORMS, EXACT)]))
     items = benchmark.select("item_id", "text").distinct().select("item_id", F.size(split_words(clean)).alias("n"), forms.alias("f"))
@@ -171,31 +201,38 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, min_share: float = MI
         "leaks-exact",
     )
     lengths = sorted(r["length"] for r in exact.select("length").distinct().collect())  # WINDOW at most
-    seeds = seeds.unionByName(exact.drop("length"))
+    bits = _bits(items.select(F.explode("words").alias("word")).distinct())
+    seeds = seeds.unionByName(exact.drop("length")).join(items.select("item_id", "form", F.size("words").alias("length")).distinct(), ["item_id", "form"])
 
     texts = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).filter(F.col("text").isNotNull())
     used = FORMS + ((EXACT,) if lengths else ())
-    windows = [_windows(F.col(f), f) for f in FORMS] + [_windows(F.col(EXACT), EXACT, k) for k in lengths]
+    windows = [_windows(F.col(f), f, bits) for f in FORMS] + [_windows(F.col(EXACT), EXACT, bits, k) for k in lengths]
     probes = (
         texts.select("doc_id", "text_hash", *[_form_words(clean, f).alias(f) for f in used])
         .select("doc_id", "text_hash", F.explode(F.concat(*windows)).alias("w"))
         .select("doc_id", "text_hash", "w.form", "w.at", "w.window_hash")
     )
     met = probes.join(seeds, ["form", "window_hash"]).select(
-        F.col("doc_id").alias("id"), F.col("text_hash").alias("same"), "item_id", "form", (F.col("at") - F.col("item_at")).alias("shift")
+        F.col("doc_id").alias("id"), F.col("text_hash").alias("same"), "item_id", "form", (F.col("at") - F.col("item_at")).alias("shift"), "length"
     )
     met = stored(met.distinct(), "leaks-met")
-    met = met.groupBy("id", "same").agg(F.collect_list(F.struct("item_id", "form", "shift")).alias("hits"))
+    met = met.groupBy("id", "same").agg(F.collect_list(F.struct("item_id", "form", "shift", "length")).alias("hits"))
     found = texts.join(met, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("same")))
+
+    def cut(hit: Column) -> Column:
+        """A hit with the tokens that the item may stand at, so that no hit carries the whole document."""
+        base = F.greatest(F.lit(1), hit["shift"] + 1)
+        own = _case(hit["form"], lambda f: F.slice(F.col(f), base, hit["length"]))
+        return F.struct(hit["item_id"].alias("item_id"), hit["form"].alias("form"), hit["shift"].alias("shift"), base.alias("base"), own.alias("tokens"))
     found = (
         found.select("doc_id", "text_hash", "hits", *[_tokens(clean, f).alias(f) for f in (*FORMS, EXACT)])
-        .select("doc_id", "text_hash", *FORMS, EXACT, F.explode("hits").alias("hit"))
-        .select("doc_id", "text_hash", "hit.*", _case(F.col("hit.form"), F.col).alias("tokens"))
+        .select("doc_id", "text_hash", F.explode(F.transform("hits", cut)).alias("hit"))
+        .select("doc_id", "text_hash", "hit.*")
         .join(items, ["item_id", "form"])
     )
 
     def there(k: Column) -> Column:
-        return F.get("tokens", k + F.col("shift") - 1)
+        return F.get("tokens", k + F.col("shift") - F.col("base"))
 
     def asked(k: Column) -> Column:
         return F.get("asked", k - 1)
@@ -220,7 +257,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, min_share: float = MI
         return F.array_distinct(F.transform(places, slot))
 
     whole = F.when(F.size("equal") == F.col("n"), F.array(F.struct(F.lit(1).alias("first"), F.col("n").alias("last"))))
-    kept = ("doc_id", "text_hash", "item_id", "form", "n", "shift", "asked", "tokens")
+    kept = ("doc_id", "text_hash", "item_id", "form", "n", "shift", "base", "asked", "tokens")
     found = found.select(*kept, F.explode(F.array(equal)).alias("equal"))
     found = found.select(*kept, F.explode(F.when(F.col("form") == EXACT, whole).otherwise(runs(F.col("equal")))).alias("run"))
     found = found.select(*kept, "run", F.explode(F.array(slots(F.col("run")))).alias("slots"))
@@ -240,18 +277,24 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, min_share: float = MI
         .groupBy("doc_id", "text_hash", "item_id", "n", "stretch")
         .agg(windows.alias("windows"), changed.alias("changed"), item_windows.alias("item_windows"))
         .filter(F.col("windows") >= min_share * F.col("item_windows"))
-        .groupBy("doc_id", "item_id")
+        .groupBy("doc_id", "text_hash", "item_id")
         .agg(F.max(F.struct("windows", (-F.col("changed")).alias("kept_slots"), "item_windows")).alias("best"))
-        .select(
-            "doc_id", "item_id", F.col("best.windows").cast("long").alias("windows"),
-            F.col("best.item_windows").cast("long").alias("item_windows"),
-            (-F.col("best.kept_slots")).cast("long").alias("changed_slots"),
-        )
+    )
+
+
+def find_leaks(documents: DataFrame, benchmark: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
+    """A row for each document and item that it leaks, for the stretch that has most of it."""
+    best = _leaks(documents, benchmark, min_share).groupBy("doc_id", "item_id").agg(F.max("best").alias("best"))
+    return best.select(
+        "doc_id", "item_id", F.col("best.windows").cast("long").alias("windows"), F.col("best.item_windows").cast("long").alias("item_windows"),
+        (-F.col("best.kept_slots")).cast("long").alias("changed_slots"),
     )
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
-    """Documents without those that leak an item."""
-    leaks = find_leaks(documents, benchmark, min_share)
-    named = leaks.filter(F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return documents.join(named, "doc_id", "left_anti").select(documents.columns)
+    """Documents without those that leak an item, each judged by its own text. Rows without a doc_id stay, as nothing names
+    them; `find_leaks` reports them."""
+    leaks = _leaks(documents, benchmark, min_share).filter(F.col("doc_id").isNotNull())
+    leaks = leaks.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("same")).distinct()
+    rows = documents.select(F.struct(*documents.columns).alias("doc"), "doc_id", F.xxhash64("text").alias("text_hash"))
+    return rows.join(leaks, (F.col("doc_id") == F.col("id")) & (F.col("text_hash") == F.col("same")), "left_anti").select("doc.*")
