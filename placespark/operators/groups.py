@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from placespark.functions import exprs as E
 from placespark.functions import geom as G
-from placespark.operators import overlay as O
+from placespark.operators import regions as R
 
 
 def _boxes(df: DataFrame) -> DataFrame:
@@ -81,13 +81,13 @@ def pick_reference(g: Column) -> Column:
     return E.let(kept, choose)
 
 
-def combine(members: DataFrame, shapes: DataFrame, group: list[str], key: str, h: float) -> DataFrame:
+def combine(members: DataFrame, shapes: DataFrame, group: list[str], key: str) -> DataFrame:
     """One shape of a group as it is, several as their intersection, or all of them when that is empty."""
     counts = members.join(shapes.select(key, G.area(E.col("geom")).alias("_area")), key).groupBy(*group).agg(
         F.count(F.lit(1)).alias("inputs"), F.sum("_area").alias("parts_area")
     )
-    common = O.intersection_areas(O.member_crossings(members, shapes, key, h), counts.drop("parts_area"), group, h)
-    joined = counts.join(common.drop("inputs"), group)
+    common = R.areas(R.common(R.member_edges(members, shapes, key), group, key), group)
+    joined = counts.join(common, group, "left").withColumn("area", F.coalesce("area", F.lit(0.0)))
     empty = F.col("area") == 0
     form = F.when(empty, "collection").when(F.col("inputs") == 1, "single").otherwise("intersection")
     return joined.select(*group, "inputs", form.alias("form"), F.when(empty, F.col("parts_area")).otherwise(F.col("area")).alias("area"))

@@ -1,4 +1,4 @@
-"""The location operators, evaluated over scanline spans.
+"""The location operators, evaluated over scanline spans; whole expressions are evaluated by ``resolve``.
 
 Every shape is a set of spans (key, h, row, x0, x1): row r of a key covers [r*h, (r+1)*h). The row
 height h belongs to the key and is a power of two, so shapes of one expression share their rows and
@@ -293,73 +293,12 @@ def route(lines: DataFrame) -> DataFrame:
 # ---- whole expressions ---------------------------------------------------------------------------
 
 
-def evaluate(nodes: DataFrame, shapes: DataFrame, rows: int = 64) -> DataFrame:
-    """Operator node rows and shapes (shp_id, geom) -> spans of every expression's root.
-
-    Levels are evaluated from the leaves up, all expressions at once; each level is stored, as the
-    next one reads it several times. Expressions of equal text should be made distinct before. Place numbers start anew
-    in each entity: where both inputs have ``entity_id``, places are those of the expression's own entity."""
-    node_key = lambda n: F.concat_ws("#", "expr_id", n)
-    keyed = nodes.withColumns({"key": node_key("node_id"), "up": node_key("parent_id")})
-    scope = [c for c in ("entity_id",) if c in nodes.columns and c in shapes.columns]
-    bound = keyed.where("op = 'GeoLocation'").join(shapes.select(*scope, "shp_id", "geom"), [*scope, "shp_id"])
-    # One row height per expression: its smallest place decides, so that none falls between two rows. A route is so narrow that it needs rows of its own fineness.
-    routed = keyed.where("op = 'Route'").select("expr_id", F.lit(True).alias("routed")).distinct()
-    sizes = bound.select("expr_id", row_height(G.bounds(E.col("geom")), rows).alias("one")).groupBy("expr_id").agg(
-        F.min("one").alias("h")
-    )
-    heights = sizes.join(routed, "expr_id", "left").select(
-        "expr_id", F.when(F.col("routed"), F.least("h", F.lit(ROUTE_HEIGHT))).otherwise(F.col("h")).alias("h")
-    )
-    plan = {
-        (r["depth"], r["op"], r["sided"])
-        for r in keyed.select("depth", "op", F.col("cardinal").isNotNull().alias("sided")).distinct().collect()
-    }
-    deepest = max((d for d, _, _ in plan), default=-1)
-    done, lines = None, None
-    for depth in range(deepest, -1, -1):
-        level = keyed.where(F.col("depth") == depth)
-        results, routes = [], []
-        for d, op, sided in sorted(plan):
-            if d != depth:
-                continue
-            mine = level.where((F.col("op") == op) & (F.col("cardinal").isNotNull() == F.lit(sided)))
-            if op == "GeoLocation":
-                placed = bound.where(F.col("depth") == depth).join(heights, "expr_id").select("key", "h", "geom")
-                results.append(leaf_at(placed))
-                continue
-            args = [_argument(done, level_children, mine, slot) for slot in ((0, 1) if op in ("Between", "Intersection", "Union", "Route") else (0,))]
-            side = mine.select("key", "cardinal") if sided else None
-            if op == "SimpleLocation":
-                results.append(simple(args[0], side))
-            elif op == "SubLocation":
-                results.append(sub_location(args[0]))
-            elif op == "Adjacent":
-                results.append(adjacent(args[0], side))
-            elif op == "Proximate":
-                results.append(proximate(args[0], side))
-            elif op == "Distance":
-                results.append(at_distance(args[0], mine.select("key", "distance", "unit", "cardinal")))
-            elif op == "Union":
-                results.append(union(*args))
-            elif op == "Intersection":
-                results.append(intersection(*args))
-            elif op == "Between":
-                results.append(between(*args))
-            elif op == "Route":
-                onward = None if lines is None else lines.join(level_children.where("slot = 1").select(F.col("key").alias("child"), "up"), F.col("key") == F.col("child")).select(F.col("up").alias("key"), "points")
-                found = route_lines(*args, onward)
-                routes.append(found)
-                results.append(route(found))
-        spans = results[0].select(*GROUP, "row", "x0", "x1")
-        for more in results[1:]:
-            spans = spans.unionByName(more.select(*GROUP, "row", "x0", "x1"))
-        done, level_children = cut_lineage(spans), level.select("key", "up", "slot")
-        lines = routes[0] if routes else None
-    return done.select(F.split("key", "#")[0].alias("expr_id"), "h", "row", "x0", "x1")
-
-
-def _argument(done: DataFrame, children: DataFrame, parents: DataFrame, slot: int) -> DataFrame:
-    """Spans of the children in a slot, under the key of their parent."""
-    wanted = children.where(F.col("slot") == slot).join(parents.select(F.col("key").alias("up")), "up")
-    return done.join(wanted.select("key", "up"), "key").select(F.col("up").alias("key"), "h", "row", "x0", "x1")
+def evaluate(nodes: DataFrame, shapes: DataFrame, rows: int | None = None) -> DataFrame:
+    """Operator node rows and shapes (shp_id, geom) -> slabs (expr_id, h, y, x0, x1) of every expression's root.
+
+    Slabs lie between the corners of the outlines, whatever the places' sizes; ``rows`` is not needed any more. See
+    ``resolve.regions`` for the outlines themselves and for the reasons of expressions without a shape."""
+    from placespark.operators import resolve
+
+    found, _ = resolve.regions(nodes, shapes)
+    return resolve.slabs(found, ["expr_id"])

@@ -4,7 +4,7 @@ from importlib import import_module
 
 MODULES = (
     "geometry_queries", "score_queries", "text_queries", "table_queries", "tile_queries", "location_queries",
-    "prediction_queries",
+    "prediction_queries", "region_queries",
 )
 
 

@@ -10,6 +10,7 @@ from placespark.functions import geom as G
 from placespark.functions import hull as H
 from placespark.functions import relate
 from placespark.operators import overlay as O
+from placespark.operators import regions as R
 from placespark.operators.layout import spread
 from placespark.plans.catalog import query, rounded
 from placespark.sources.tables import table
@@ -440,7 +441,7 @@ _LINK_PLACES = X.with_sql("entities", "places", "links")[:-1] + ", placed AS (SE
 
 
 def _entity_places(spark, d):
-    return O.member_crossings(X.links(spark, d), X.place_shapes(spark, d), "place_id", H_ROW)
+    return R.member_edges(X.links(spark, d), X.place_shapes(spark, d), "place_id")
 
 
 @query(
@@ -450,7 +451,7 @@ def _entity_places(spark, d):
 )
 def union_area(spark, d):
     """Area of the union of the places an entity mentions."""
-    areas = O.union_areas(_entity_places(spark, d), ["entity_id"], H_ROW)
+    areas = R.areas(R.united(_entity_places(spark, d), ["entity_id"], "place_id"), ["entity_id"])
     return areas.select("entity_id", rounded(F.col("area")).alias("area"))
 
 
@@ -465,8 +466,8 @@ def union_area(spark, d):
 def intersection_area(spark, d):
     """Area common to all places an entity mentions."""
     counts = X.links(spark, d).groupBy("entity_id").agg(F.count(F.lit(1)).alias("inputs"))
-    areas = O.intersection_areas(_entity_places(spark, d), counts, ["entity_id"], H_ROW)
-    return areas.select("entity_id", "inputs", rounded(F.col("area")).alias("area"))
+    areas = R.areas(R.common(_entity_places(spark, d), ["entity_id"], "place_id"), ["entity_id"])
+    return counts.join(areas, "entity_id", "left").select("entity_id", "inputs", rounded(F.coalesce("area", F.lit(0.0))).alias("area"))
 
 
 @query(
@@ -480,9 +481,8 @@ def intersection_area(spark, d):
 def difference_area(spark, d):
     """Gold area without the places the entity mentions; several subtracted parts all count."""
     gold = spread(X.entities(spark, d), "entity_id").select("entity_id", F.lit("a").alias("side"), X.gold_box().alias("geom"))
-    other = _entity_places(spark, d).drop("place_id").withColumn("side", F.lit("b"))
-    found = O.crossings(O.edges(gold), H_ROW).unionByName(other)
-    areas = O.set_areas(found, ["entity_id"], H_ROW)
+    other = R.united(_entity_places(spark, d), ["entity_id"], "place_id").withColumn("side", F.lit("b"))
+    areas = R.set_areas(R.edges(gold).unionByName(other), ["entity_id"])
     return areas.where("area_a > 0").select(
         "entity_id", *[rounded(F.col(c)).alias(c) for c in ("area_a", "overlap", "difference")]
     )

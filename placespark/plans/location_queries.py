@@ -9,7 +9,8 @@ from placespark.functions import exprs as E
 from placespark.functions import geom as G
 from placespark.operators import locations as L
 from placespark.operators import lines as N
-from placespark.operators import trees
+from placespark.operators import regions as R
+from placespark.operators import resolve, trees
 from placespark.plans.catalog import query, rounded
 from placespark.plans.text_queries import _operator_rows
 
@@ -148,6 +149,6 @@ def resolve_expressions(spark, d):
     """Area of every distinct operator tree of the corpus, evaluated level by level."""
     rows = _operator_rows(spark, d).select("operators").distinct().withColumn("expr_id", F.sha2("operators", 256))
     shapes = X.place_shapes(spark, d).select(F.col("place_id").cast("int").alias("shp_id"), "geom")
-    spans = L.evaluate(trees.operator_nodes(rows.select("expr_id", "operators")), shapes, 16)
-    areas = spans.groupBy("expr_id").agg(F.sum((F.col("x1") - F.col("x0")) * F.col("h")).alias("area"))
+    found, _ = resolve.regions(trees.operator_nodes(rows.select("expr_id", "operators")), shapes)
+    areas = R.areas(found, ["expr_id"])
     return rows.join(areas, "expr_id", "left").select("operators", rounded(F.coalesce("area", F.lit(0.0)), 4).alias("area"))

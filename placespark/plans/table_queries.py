@@ -9,12 +9,12 @@ from placespark.functions import exprs as E
 from placespark.functions import geom as G
 from placespark.functions import lexicon as L
 from placespark.operators import annotation, baselines, groups
-from placespark.operators import overlay as O
+from placespark.operators import regions as R
 from placespark.operators import score as S
 from placespark.operators import spatial_join as J
-from placespark.operators.layout import running_total, spread
+from placespark.operators.layout import running_total, spread, stored
 from placespark.plans.catalog import query, rounded
-from placespark.plans.geometry_queries import _CELLS, H_ROW
+from placespark.plans.geometry_queries import _CELLS
 from placespark.sources import corpus, gazetteer, wkt
 from placespark.sources.tables import table
 
@@ -98,8 +98,10 @@ def gazetteer_lookup(spark, d):
 )
 def entity_reference_geometry(spark, d):
     """Area of all gazetteer rows that a place's key list names, united."""
-    found = _keys(spark, d).join(_gazetteer(spark, d), ["osm_id", "osm_type"]).select("place_id", "geom")
-    return O.union_areas(O.crossings(O.edges(found), H_ROW), ["place_id"], H_ROW).select("place_id", rounded(F.col("area")).alias("area"))
+    found = _keys(spark, d).join(_gazetteer(spark, d), ["osm_id", "osm_type"]).select("place_id", F.monotonically_increasing_id().alias("n"), "geom")
+    found = stored(found, "found")
+    united = R.united(R.member_edges(found.select("place_id", "n"), found, "n"), ["place_id"], "n")
+    return R.areas(united, ["place_id"]).select("place_id", rounded(F.col("area")).alias("area"))
 
 
 _WANTED = "SELECT DISTINCT 'O' || l_partkey AS osm_id, CASE l_linestatus WHEN 'O' THEN 'way' ELSE 'relation' END AS osm_type FROM lineitem"
@@ -155,8 +157,9 @@ def predicted_geometry(spark, d):
     second = first.join(X.entities(spark, d).where("status = '2'").select("entity_id"), "entity_id", "left_semi").withColumns(
         {"pxmin": F.col("pxmin") + 1, "pxmax": F.col("pxmax") + 1}
     )
-    stored = first.unionByName(second).select("entity_id", X.predicted_box().alias("geom"))
-    areas = O.union_areas(O.crossings(O.edges(stored), H_ROW), ["entity_id"], H_ROW)
+    both = first.unionByName(second).select("entity_id", X.predicted_box().alias("geom"))
+    edges = R.edges(both.withColumn("n", F.xxhash64("geom")))
+    areas = R.areas(R.united(edges, ["entity_id"], "n"), ["entity_id"])
     return X.entities(spark, d).select("entity_id").join(areas, "entity_id", "left").select(
         "entity_id", rounded(F.coalesce("area", F.lit(0.0))).alias("area")
     )
@@ -341,7 +344,7 @@ def combine_entity_shapes(spark, d):
     """One shape as it is, several as their intersection, or as a collection when they have none."""
     shapes = X.place_shapes(spark, d)
     members = X.links(spark, d)
-    return groups.combine(members, shapes, ["entity_id"], "place_id", H_ROW).select(
+    return groups.combine(members, shapes, ["entity_id"], "place_id").select(
         "entity_id", "inputs", "form", rounded(F.col("area")).alias("area")
     )
 
@@ -369,7 +372,7 @@ def baseline_min_area(spark, d):
 
 def _method_areas(spark, d):
     gold = X.entities(spark, d).where("status = '5'").select("entity_id", X.gold_box().alias("gold"))
-    return baselines.method_areas(gold, X.links(spark, d), X.place_shapes(spark, d), "entity_id", "place_id", H_ROW)
+    return baselines.method_areas(gold, X.links(spark, d), X.place_shapes(spark, d), "entity_id", "place_id")
 
 
 _CELL_AREA = "6378137e0 * radians(25e-2) * 6378137e0 * (ln(tan(pi() / 4 + radians((j + 1) * 25e-2) / 2)) - ln(tan(pi() / 4 + radians(j * 25e-2) / 2)))"
