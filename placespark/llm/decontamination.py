@@ -29,8 +29,8 @@ from placespark.llm.common import stored
 WINDOW = 6
 MIN_LITERALS = 3
 MIN_SHARE = 0.5
-#: Longs of the bit set of the benchmark's words.
-CELLS = 1 << 12
+#: Flags by which words that the benchmark does not have are told.
+CELLS = 1 << 16
 #: Units and number words.
 UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ounce ounces pound"
@@ -120,25 +120,14 @@ def _tokens(clean: Column, form: str) -> Column:
     )
 
 
-def _bits(words: DataFrame) -> Column:
-    """A constant of ``CELLS`` longs that has a bit for each word; with many words all bits are set, and nothing is told apart."""
-    h = F.xxhash64("word")
-    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(word), 64) as int))")
-    cells = words.select(F.pmod(F.shiftright(h, 6), F.lit(CELLS)).alias("cell"), bit.alias("bit"))
-    found = {r["cell"]: r["bits"] for r in cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).collect()}  # CELLS rows at most
-    text = ",".join(str(found.get(i, 0)) for i in range(CELLS))  # one constant for the optimizer, not CELLS of them
-    return F.split(F.lit(text), ",").cast("array<bigint>")
+def _marks(words: DataFrame) -> Column:
+    """A constant of ``CELLS`` flags, set for the hash of each word; with many words all are set, and nothing is told apart."""
+    cells = {r["cell"] for r in words.select(F.pmod(F.xxhash64("word"), F.lit(CELLS)).alias("cell")).distinct().collect()}  # CELLS at most
+    text = ",".join(str(i in cells).lower() for i in range(CELLS))  # one constant for the optimizer, not CELLS of them
+    return F.split(F.lit(text), ",").cast("array<boolean>")
 
 
-def _known(bits: Column, word: Column) -> Column:
-    """Whether a word may be one of the benchmark's."""
-    return _let(
-        F.xxhash64(word),
-        lambda h: F.getbit(F.get(bits, F.pmod(F.shiftright(h, 6), F.lit(CELLS)).cast("int")), F.pmod(h, F.lit(64)).cast("int")) == 1,
-    )
-
-
-def _windows(words: Column, form: str, bits: Column, length: int = WINDOW) -> Column:
+def _windows(words: Column, form: str, marks: Column, length: int = WINDOW) -> Column:
     """Hashes of the windows of words that the benchmark has, with their first place; others cannot be joined."""
     last = F.size(words) - (length - 1)
 
@@ -154,7 +143,7 @@ def _windows(words: Column, form: str, bits: Column, length: int = WINDOW) -> Co
             lambda i: F.struct(F.lit(form).alias("form"), i.alias("at"), F.xxhash64(F.slice(words, i, length)).alias("window_hash")),
         )
 
-    found = _let(F.transform(words, lambda w: _known(bits, w)), hashed)
+    found = _let(F.transform(words, lambda w: F.get(marks, F.pmod(F.xxhash64(w), F.lit(CELLS)).cast("int"))), hashed)
     return F.coalesce(found, F.array().cast("array<struct<form:string,at:int,window_hash:bigint>>"))
 
 
@@ -201,12 +190,13 @@ def _leaks(documents: DataFrame, benchmark: DataFrame, min_share: float) -> Data
         "leaks-exact",
     )
     lengths = sorted(r["length"] for r in exact.select("length").distinct().collect())  # WINDOW at most
-    bits = _bits(items.select(F.explode("words").alias("word")).distinct())
-    seeds = seeds.unionByName(exact.drop("length")).join(items.select("item_id", "form", F.size("words").alias("length")).distinct(), ["item_id", "form"])
+    marks = _marks(items.select(F.explode("words").alias("word")).distinct())
+    sizes = items.select("item_id", "form", F.size("words").alias("length")).distinct()
+    seeds = stored(seeds.unionByName(exact.drop("length")).join(sizes, ["item_id", "form"]), "leaks-windows")
 
     texts = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).filter(F.col("text").isNotNull())
     used = FORMS + ((EXACT,) if lengths else ())
-    windows = [_windows(F.col(f), f, bits) for f in FORMS] + [_windows(F.col(EXACT), EXACT, bits, k) for k in lengths]
+    windows = [_windows(F.col(f), f, marks) for f in FORMS] + [_windows(F.col(EXACT), EXACT, marks, k) for k in lengths]
     probes = (
         texts.select("doc_id", "text_hash", *[_form_words(clean, f).alias(f) for f in used])
         .select("doc_id", "text_hash", F.explode(F.concat(*windows)).alias("w"))
