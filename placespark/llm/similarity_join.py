@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placespark.llm.common import coded, hashed, mixed, slices, stored, strings, words
+from placespark.llm.common import coded, dropped, hashed, mixed, slices, stored, strings, words
 from placespark.llm.graph import components
 
 WORDS = 5
@@ -211,8 +211,8 @@ def _sets(documents: DataFrame, classes: DataFrame) -> DataFrame:
     return stored(found, "join-sets")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
+def _verified(documents: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar; sets are made anew for the classes that are in a pair."""
 
     def task(batches):
         for batch in batches:
@@ -223,14 +223,21 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 kept.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
+    pairs = stored(pairs.select("a", "b").distinct(), "join-pairs")
+    nodes = stored(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), "join-nodes")
+    sets = _sets(documents, classes.join(nodes, "cid"))
+    if lost := nodes.join(sets, "cid", "left_anti").count():
+        raise ValueError(f"{lost} sets were not found again: the documents have changed meanwhile")
     x = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("x"))
     y = sets.select(F.col("cid").alias("b"), F.col("tokens").alias("y"))
-    joined = pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y")
-    return stored(joined.mapInArrow(task, "a long, b long").distinct(), "join-links")
+    joined = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+    found = stored(joined.mapInArrow(task, "a long, b long").distinct(), "join-links")
+    dropped(pairs, nodes, sets)
+    return found
 
 
 def links(documents: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(classes, links between classes that make their components)."""
+    """(classes, links between classes that make their components); docs are deleted when they are read."""
     classes = stored(
         docs.filter("n_shingles > 0")
         .groupBy("s1", "s2")
@@ -243,14 +250,11 @@ def links(documents: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     postings = _postings(docs.join(classes.select("cid"), F.col("row") == F.col("cid"), "left_semi"))
     tokens = postings.groupBy("token").count().filter("count > 1")
-    shared = stored(postings.join(tokens.select("token"), "token"), "join-postings")
+    postings = stored(postings.join(tokens.select("token"), "token"), "join-postings")
     shared = stored(
-        shared.join(classes, "cid").select("token", "cid", "first", "n", "place", "level_limit"), "join-shared"
+        postings.join(classes, "cid").select("token", "cid", "first", "n", "place", "level_limit"), "join-shared"
     )
-    nodes = stored(shared.select("cid").distinct(), "join-nodes")
-    sets = _sets(documents, classes.join(nodes, "cid"))
-    if lost := nodes.join(sets, "cid", "left_anti").count():
-        raise ValueError(f"{lost} sets were not found again: the documents have changed meanwhile")
+    dropped(docs, postings)
 
     ends = shared.groupBy("token").agg(
         F.min_by("cid", F.struct("first", "cid")).alias("earliest"), F.max_by("cid", F.struct("first", "cid")).alias("latest")
@@ -258,14 +262,15 @@ def links(documents: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = shared.select("token", "cid").join(ends, "token")
     met = met.select("cid", F.explode(F.array("earliest", "latest")).alias("other")).filter("cid <> other")
     counted = met.groupBy("cid", "other").agg(F.count("*").alias("n_shared"))
-    size = classes.select(F.col("cid").alias("other"), F.col("n").alias("n_other"), F.col("first").alias("first_other"))
-    counted = counted.join(size, "other").join(classes.select("cid", "n", "first"), "cid")
+    size = classes.select(F.col("cid").alias("other"), F.col("n").alias("n_other"), F.col("first").alias("first_other"), F.col("level_limit").alias("limit_other"))
+    counted = counted.join(size, "other").join(classes.select("cid", "n", "first", "level_limit"), "cid")
     counted = counted.filter(100 * F.least("n", "n_other") >= PERCENT * F.greatest("n", "n_other"))
+    counted = counted.filter(F.col("n_shared") >= F.least("level_limit", "limit_other"))  # stars only have to find most links
     best = counted.groupBy("cid", (F.col("first_other") < F.col("first")).alias("side")).agg(
         F.max_by("other", F.struct("n_shared", "other")).alias("other")
     )
     stars = best.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
-    first_links = _verified(stars, sets)
+    first_links = _verified(documents, classes, stars)
     groups = stored(components(first_links), "join-groups")
 
     grouped = shared.join(groups, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
@@ -275,8 +280,10 @@ def links(documents: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         "join-mixed",
     )
     masks = grouped.groupBy("cid").agg(*_mask_columns())
+    dropped(shared)
     masked = stored(grouped.join(masks, "cid").withColumn("spare", F.col("tokens") - _common("mask{}", "mask{}")), "join-masked")
-    of = grouped.groupBy("token", "root", "n").agg(F.min("place").alias("place"))
+    dropped(grouped)
+    of = masked.groupBy("token", "root", "n").agg(F.min("place").alias("place"))
     left, right = of.toDF("token", "root_a", "n_a", "place_a"), of.toDF("token", "root_b", "n_b", "place_b")
     roots = left.join(
         right, (left["token"] == right["token"]) & F.expr("root_a < root_b") & _reach("n_a", "place_a", "n_b", "place_b", LONGEST)
@@ -297,13 +304,16 @@ def links(documents: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .agg(F.count("*").alias("n_shared"))
         .filter("n_shared >= asked")
     )
-    return classes, first_links.union(_verified(crossing, sets))
+    found = first_links.union(_verified(documents, classes, crossing))
+    dropped(masked)
+    return classes, found
 
 
 def _grouped(documents: DataFrame) -> DataFrame:
     """Set size and component of each document, with the hash of its text, and whether it stands for its component."""
-    docs = stored(prefixes(documents, sketch(documents)), "join-docs")
-    classes, found = links(documents, docs)
+    prefixed = stored(prefixes(documents, sketch(documents)), "join-prefixes")
+    docs = stored(prefixed.drop("prefix"), "join-docs")
+    classes, found = links(documents, prefixed)
     groups = components(found)
     named = classes.select("cid", "s1", "s2", "first", "text_hash").join(groups, F.col("cid") == F.col("node"), "left")
     named = named.withColumn("root", F.coalesce("root", "cid"))
