@@ -67,6 +67,17 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salts: int =
     return salted.drop("_hot").join(repeated.drop("_hot"), [*keys, "_salt"]).drop("_salt")
 
 
+def numbered(df: DataFrame, *order: Column, name: str = "number") -> DataFrame:
+    """Rows with numbers from 1 on in the given order, without a task that sees all of them: they are sorted in ranges, and each
+    range starts after the rows of those before it."""
+    ranges = stored(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # one row a range
+    before = F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")
+    counts = F.broadcast(counts.select("_range", before.alias("_before")))
+    nth = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranges.withColumn("_nth", nth).join(counts, "_range").withColumn(name, F.col("_before") + F.col("_nth")).drop("_range", "_nth", "_before")
+
+
 def cell_of(value: Column, size: float) -> Column:
     return F.floor(value / size)
 

@@ -288,7 +288,7 @@ def pair_overlap(
     numbered = flat.withColumns({"_first": first, "_last": last})
     slabs = numbered.withColumn(
         "slab",
-        F.explode_outer(F.when(F.col("_first") <= F.col("_last"), F.sequence("_first", "_last"))),
+        F.explode_outer(F.when((F.col("_first") > 0) & (F.col("_first") <= F.col("_last")), F.sequence("_first", "_last"))),  # 0: above both
     ).where(F.col("slab").isNotNull() | (F.coalesce("_n", F.lit(0)) == 0))
     y0, y1 = F.get("_ys", F.col("slab") - 1), F.get("_ys", F.col("slab"))
     middle = (y0 + y1) / 2

@@ -334,11 +334,20 @@ def _further(state: DataFrame, reach: int) -> DataFrame:
     )
 
 
+def _is_corner(at: Column, i: Column) -> Column:
+    """Whether the ring q turns at its i-th point."""
+    n = F.size("q")
+    before, after = F.get("q", F.pmod(i - 1, n)), F.get("q", F.pmod(i + 1, n))
+    ux, uy, vx, vy = at["x"] - before["x"], at["y"] - before["y"], after["x"] - at["x"], after["y"] - at["y"]
+    return F.abs(ux * vy - uy * vx) > 1e-12 * (F.abs(ux) + F.abs(uy)) * (F.abs(vx) + F.abs(vy))
+
+
 def outlines(rows: DataFrame, group: list[str]) -> DataFrame:
     """(group, geom): each region as one geometry of closed rings, holes with the smallest part that surrounds them."""
     corners = stored(rings(rows, group), "corners")
     points = F.transform(F.sort_array(F.collect_list(F.struct("nth", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
-    drawn = corners.groupBy(*group, "ring").agg(points.alias("p"))
+    drawn = corners.groupBy(*group, "ring").agg(points.alias("q"))
+    drawn = drawn.select(*group, "ring", F.filter("q", _is_corner).alias("p")).where("size(p) > 2")
     drawn = drawn.select(*group, "ring", F.concat("p", F.slice("p", 1, 1)).alias("p")).withColumn("size", G.signed_area(E.col("p")))
     drawn = stored(drawn.withColumn("b", G.bounds(G.make_line(E.col("p")))), "outlines")
     shells = drawn.where("size > 0").select(*group, "ring", F.col("p").alias("shell"), "size", F.col("b").alias("box"))

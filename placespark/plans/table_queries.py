@@ -12,7 +12,7 @@ from placespark.operators import annotation, baselines, groups
 from placespark.operators import regions as R
 from placespark.operators import score as S
 from placespark.operators import spatial_join as J
-from placespark.operators.layout import running_total, spread, stored
+from placespark.operators.layout import numbered, running_total, spread, stored
 from placespark.plans.catalog import query, rounded
 from placespark.plans.geometry_queries import _CELLS
 from placespark.sources import corpus, gazetteer, wkt
@@ -145,6 +145,13 @@ def pending_entities(spark, d):
     return gazetteer.pending(X.entities(spark, d).select("entity_id", "status"), X.predictions(spark, d))
 
 
+@query("dense_numbers", X.with_sql("entities") + "SELECT entity_id, status, row_number() OVER (ORDER BY status, entity_id) AS number FROM entities")
+def dense_numbers(spark, d):
+    """Numbers of all entities in the order of status and id."""
+    rows = X.entities(spark, d).select("entity_id", "status")
+    return numbered(rows, F.col("status"), F.col("entity_id"))
+
+
 @query(
     "predicted_geometry",
     X.with_sql("entities", "predictions")[:-1] + ", stored AS (SELECT entity_id, pxmin, pymin, pxmax, pymax FROM predictions UNION ALL SELECT entity_id, pxmin + 1, pymin, pxmax + 1, pymax FROM predictions WHERE entity_id IN (SELECT entity_id FROM entities WHERE status = '2')),"

@@ -11,6 +11,7 @@ from placespark.functions import text as T
 from placespark.operators import relations as R
 from placespark.operators import trees
 from placespark.operators.layout import running_total, spread
+from placespark.operators.sentences import leading_sentences
 from placespark.plans.catalog import query, rounded
 from placespark.sources import corpus
 from placespark.sources.tables import table
@@ -184,8 +185,7 @@ def link_prefix_text(spark, d):
 )
 def link_sentence(spark, d):
     """The sentence that leads to each link, with the link itself as LOCATION."""
-    told = F.concat("before", F.lit("LOCATION"))
-    return _prefixes(spark, d).where("is_link").select("conv_id", "turn", T.last_sentence(told).alias("sentence"))
+    return leading_sentences(_fragments(spark, d), "conv_id", "turn").select("conv_id", "turn", "sentence")
 
 
 # ---- corpus XML built from orders and their places ------------------------------------------------

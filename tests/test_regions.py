@@ -110,3 +110,42 @@ def test_convex(spark):
     texts |= {"POLYGON((0 0, 4 0, 4 4, 0 4, 0 0, 4 0, 4 4, 0 4, 0 0))": False, "POLYGON((0 0, 2 0, 2 2, 1 1, 0 2, 0 0))": False}
     df = spark.createDataFrame(list(texts.items()), "wkt string, want boolean")
     assert all(x["want"] == x["got"] for x in df.select("want", R.is_convex(wkt.from_text(E.col("wkt"))).alias("got")).collect())
+
+
+def test_overlap_with_parts_above_and_below(spark):
+    from placespark.operators import overlay as O
+
+    a = "POLYGON((0 0, 2 0, 2 2, 0 2, 0 0))"
+    b = "MULTIPOLYGON(((1 1, 3 1, 3 3, 1 3, 1 1)), ((0 5, 2 5, 2 6, 0 6, 0 5)), ((0 -4, 2 -4, 2 -3, 0 -3, 0 -4)))"
+    df = spark.createDataFrame([(1, a, b)], "k int, a string, b string")
+    df = df.select("k", wkt.from_text(E.col("a")).alias("a"), wkt.from_text(E.col("b")).alias("b"))
+    assert O.pair_overlap(df, ["k"], "a", "b").first()["overlap"] == pytest.approx(1.0)
+
+
+def test_outlines(spark):
+    """Boxes that touch in a corner stay two parts, a frame has a hole, and no border inside of a union is left."""
+    boxes = lambda *at: [[(x, y), (x + w, y), (x + w, y + h), (x, y + h)] for x, y, w, h in at]
+    groups = {"corner": boxes((0, 0, 1, 1), (1, 1, 1, 1)), "row": boxes((0, 0, 1, 1), (1, 0, 1, 1), (2, 0, 1, 2))}
+    groups["frame"] = boxes((0, 0, 3, 1), (0, 2, 3, 1), (0, 0, 1, 3), (2, 0, 1, 3))
+    rows = R.united(members(spark, groups), ["g"], "member", levels=True)
+    got = {x["g"]: x["geom"] for x in R.outlines(rows, ["g"]).collect()}
+    shape = lambda g: sorted([[len(r) for r in part] for part in got[g]["parts"]])
+    assert shape("corner") == [[5], [5]] and shape("row") == [[7]] and shape("frame") == [[5, 5]]
+
+
+def test_reasons(spark):
+    from placespark.operators import resolve
+    from placespark.operators.trees import operator_nodes
+
+    texts = {
+        "fine": "GeoLocation(1,None)", "apart": "Intersection(GeoLocation(1,None),GeoLocation(2,None))", "unbound": "GeoLocation(7,None)",
+        "union": "Union(GeoLocation(1,None),GeoLocation(7,None))", "same": "Between(GeoLocation(1,None),GeoLocation(1,None))",
+    }
+    places = [(1, "POLYGON((0 0, 1 0, 1 1, 0 1, 0 0))"), (2, "POINT(5 5)")]
+    rows = spark.createDataFrame(list(texts.items()), "expr_id string, operators string")
+    shapes = spark.createDataFrame(places, "shp_id int, wkt string").select("shp_id", wkt.from_text(E.col("wkt")).alias("geom"))
+    found, why = resolve.regions(operator_nodes(rows), shapes)
+    assert {x["expr_id"]: x["reason"] for x in why.collect()} == {"apart": "nothing in common", "unbound": "no place", "union": "no place", "same": "same place"}
+    assert {x["expr_id"]: x["area"] for x in R.areas(found, ["expr_id"]).collect()} == {"fine": pytest.approx(1.0)}
+    with pytest.raises(ValueError):
+        resolve.regions(operator_nodes(rows).withColumn("entity_id", F.lit("e")), shapes)
