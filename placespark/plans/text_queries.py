@@ -505,3 +505,14 @@ def bind_toponyms(spark, d):
     leaves = trees.operator_nodes(_operator_rows(spark, d)).where("op = 'GeoLocation'").select("expr_id", "node_id", "shp_id")
     places = X.places(spark, d).select("place_id")
     return leaves.join(places, F.col("shp_id") == F.col("place_id"), "left")
+
+
+@query(
+    "complete_keys",
+    X.with_sql("entities")[:-1] + ", rows AS (SELECT * FROM lineitem JOIN entities ON l_orderkey = entity_id WHERE status = '5')"
+    " SELECT DISTINCT unnest(['O' || l_orderkey, 'O' || l_partkey, 'O' || l_suppkey, 'O0', 'O' || l_partkey, 'O' || l_suppkey]) AS osm_id,"
+    " unnest(['way', 'relation', 'way', 'relation', 'way', 'node']) AS osm_type FROM rows",
+)
+def complete_keys(spark, d):
+    """Keys of the complete entities and of all places that they link to."""
+    return corpus.complete_keys(_corpus(spark, d))
