@@ -427,7 +427,7 @@ _P, _R = "sum(p) / count(p)", "sum(r) / count(*)"
     f" SELECT method, count(*) AS total_gold, count(p) AS total_predicted, round({_P}, 6) + 0 AS p, round({_R}, 6) + 0 AS r, round(2 * {_P} * {_R} / ({_P} + {_R}), 6) + 0 AS f, round(count(p) / count(*), 6) + 0 AS coverage FROM scores GROUP BY ALL",
 )
 def score_baselines(spark, d):
-    """P, R, F of the four baselines over all complete entities, from one sweep."""
+    """P, R, F of the four baselines over all complete entities."""
     scores = baselines.method_scores(_method_areas(spark, d), "entity_id")
     totals = S.sum_scores(scores, ["method"], F.count(F.lit(1)), {"": True})
     return totals.select("method", "total_gold", "total_predicted", *[rounded(F.col(c)).alias(c) for c in ("p", "r", "f", "coverage")])
