@@ -228,7 +228,8 @@ def simplify_grid(g: Column, segments: int = 2) -> Column:
 def simple_rings(df: DataFrame, key: str, cell: float) -> DataFrame:
     """Is every ring of ``geom`` closed, of four points or more and free of self-crossings?
 
-    Edges of a geometry meet in square cells, so only edges near each other are compared."""
+    Edges of a geometry meet in square cells, so only edges near each other are compared. Cells are many for each geometry,
+    whose file size tells nothing of them, so they are not broadcast."""
     shaped = df.select(
         key,
         "geom",
@@ -247,7 +248,7 @@ def simple_rings(df: DataFrame, key: str, cell: float) -> DataFrame:
         ) * (F.col(f"{p}.x") - F.col(f"{s}.a.x"))
 
     crossing = (
-        spread.join(other, [key, "cx", "cy"])
+        spread.join(other.hint("merge"), [key, "cx", "cy"])
         .where("n < m")
         .where((side("s", "t.a") * side("s", "t.b") < 0) & (side("t", "s.a") * side("t", "s.b") < 0))
     )

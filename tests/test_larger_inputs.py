@@ -38,3 +38,9 @@ def test_spans_are_not_broadcast(spark):
     met = O.span_interval_join(a, b, ["row_key"])
     assert "SortMergeJoin" in plan(met)
     assert met.where("key = 0").count() == 8 and met.where("x0 >= x1").count() == 0
+
+
+def test_cells_of_rings_are_not_broadcast(spark):
+    found = H.simple_rings(shapes(spark, SQUARE, "POLYGON((0 0,2 2,2 0,0 2,0 0))"), "key", 0.5)
+    assert "SortMergeJoin [key" in plan(found)
+    assert {r["key"]: r["simple"] for r in found.collect()} == {0: True, 1: False}
