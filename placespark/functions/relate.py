@@ -104,4 +104,13 @@ def matrix(a: Column, b: Column) -> Column:
 
         return F.let(facts, write)
 
-    return F.let(found, letters)
+    apart = F.let(F.struct(G.bounds(a).alias("a"), G.bounds(b).alias("b")), _apart)
+    return F.when(G.is_area(a) & G.is_area(b) & apart, F.lit("FF2FF1212")).otherwise(F.let(found, letters))
+
+
+def _apart(s: Column) -> Column:
+    """Do the boxes a and b lie further apart than what counts as touching? Then so do the areas."""
+    a, b = s["a"], s["b"]
+    return (
+        (b["xmin"] - a["xmax"] > EPSILON) | (a["xmin"] - b["xmax"] > EPSILON) | (b["ymin"] - a["ymax"] > EPSILON) | (a["ymin"] - b["ymax"] > EPSILON)
+    )

@@ -44,3 +44,14 @@ def test_cells_of_rings_are_not_broadcast(spark):
     found = H.simple_rings(shapes(spark, SQUARE, "POLYGON((0 0,2 2,2 0,0 2,0 0))"), "key", 0.5)
     assert "SortMergeJoin [key" in plan(found)
     assert {r["key"]: r["simple"] for r in found.collect()} == {0: True, 1: False}
+
+
+@pytest.mark.parametrize(
+    ("b", "expected"),
+    [("POLYGON((3 0,4 0,4 1,3 0))", "FF2FF1212"), ("POLYGON((2 0,4 0,4 2,2 2,2 0))", "FF2F11212"), (DIAMOND, "FF2FF1212"), ("POLYGON((1 3,3 1,3 3,1 3))", "FF2F01212")],
+)
+def test_boxes_tell_areas_that_lie_apart(spark, b, expected):
+    row = shapes(spark, SQUARE).withColumnRenamed("geom", "a").crossJoin(shapes(spark, b).select(F.col("geom").alias("b")))
+    told = relate.matrix(E.col("a"), E.col("b"))
+    assert told.text.startswith("CASE WHEN")  # boxes come first
+    assert row.select(told.alias("m")).first()["m"] == expected
