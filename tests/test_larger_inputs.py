@@ -55,3 +55,17 @@ def test_boxes_tell_areas_that_lie_apart(spark, b, expected):
     told = relate.matrix(E.col("a"), E.col("b"))
     assert told.text.startswith("CASE WHEN")  # boxes come first
     assert row.select(told.alias("m")).first()["m"] == expected
+
+
+def test_points_in_cells(spark):
+    areas = shapes(spark, SQUARE, HOLED, DIAMOND, TWO, LINE)
+    dealt = random.Random(5)
+    spots = [(i, dealt.choice([dealt.uniform(-4, 12), float(dealt.randint(-4, 12)), dealt.randint(-16, 48) / 4]), dealt.uniform(-4, 12) if i % 2 else dealt.randint(-16, 48) / 4) for i in range(3000)]
+    points = spark.createDataFrame(spots, "p int, x double, y double")
+    every = points.crossJoin(areas).where(J.contains(E.col("geom"), G.xy(E.col("x"), E.col("y")))).select("p", "key")
+    want = sorted(map(tuple, every.collect()))
+    for cell in (4.0, 0.7, 100.0):
+        got = J.contains_join(points, areas, cell).select("p", "key").collect()
+        assert sorted(map(tuple, got)) == want
+    cells = J.covered_cells(areas.where("key = 0"), 4.0)
+    assert cells.where("_whole").count() > 0 and cells.select("_l", "_cx", "_cy").distinct().count() == cells.count()
