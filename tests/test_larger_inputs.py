@@ -69,3 +69,20 @@ def test_points_in_cells(spark):
         assert sorted(map(tuple, got)) == want
     cells = J.covered_cells(areas.where("key = 0"), 4.0)
     assert cells.where("_whole").count() > 0 and cells.select("_l", "_cx", "_cy").distinct().count() == cells.count()
+
+
+def test_rectangles_meet_where_their_boxes_do(spark):
+    texts = [SQUARE, HOLED, DIAMOND, TWO, LINE, "POLYGON((0 0,2 2,2 2,0 0,0 0))", "POLYGON((0 0,2 0,0 0,2 0,0 0))", "POLYGON((2 0,2 2,0 2,0 0,2 0))"]
+    flags = shapes(spark, *texts).select("key", J.is_rectangle(E.col("geom")).alias("r"))
+    assert [r["r"] for r in flags.orderBy("key").collect()] == [True, False, False, False, False, False, False, True]
+    dealt = random.Random(7)
+    boxes = []
+    for _ in range(30):
+        x, y, w, h = (dealt.randint(-8, 20) / 2, dealt.randint(-8, 20) / 2, dealt.randint(1, 6) / 2, dealt.randint(1, 6) / 2)
+        boxes.append(f"POLYGON(({x} {y},{x + w} {y},{x + w} {y + h},{x} {y + h},{x} {y}))")
+    left = shapes(spark, *texts[:5], *boxes)
+    right = left.select(F.col("key").alias("other_key"), F.col("geom").alias("other"))
+    every = left.crossJoin(right).where(H.intersects(E.col("geom"), E.col("other"))).select("key", "other_key")
+    got = J.intersects_join(left, right, 4.0)
+    assert sorted(map(tuple, got.select("key", "other_key").collect())) == sorted(map(tuple, every.collect()))
+    assert got.columns == ["key", "geom", "other_key", "other"]
