@@ -86,3 +86,18 @@ def test_rectangles_meet_where_their_boxes_do(spark):
     got = J.intersects_join(left, right, 4.0)
     assert sorted(map(tuple, got.select("key", "other_key").collect())) == sorted(map(tuple, every.collect()))
     assert got.columns == ["key", "geom", "other_key", "other"]
+
+
+def test_spans_of_one_geometry_are_joined_before_the_sweep(spark):
+    h, r = 0.125, 0.3
+    df = shapes(spark, SQUARE, HOLED, DIAMOND, TWO, LINE, "MULTIPOINT(1 2,3 4)")
+    rows = O.grown_rows(df, h, F.lit(r))
+    assert rows.where("key = 0").groupBy("row").count().where("count > 1").count() == 0
+    one = O.span_events(O.capsule_spans(O.outline_segments(df), h, F.lit(r)))
+    events = one.select("key", "row", "x", "d").unionByName(O.crossings(O.edges(df), h).select("key", "row", "x", "d"))
+    runs = O.sweep(O.slot_events(events, ["key"], {"all": F.lit(True)}), ["key"], ["all"])
+    want = {a["key"]: a["area"] for a in O.span_area(O.merged_spans(runs, ["key"], F.col("n_all") > 0), ["key"], h).collect()}
+    got = {a["key"]: a["area"] for a in O.span_area(rows, ["key"], h).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+    outline = {a["key"]: a["area"] for a in O.span_area(O.grown_rows(df, h, F.lit(r), interior=False), ["key"], h).collect()}
+    assert outline[0] < got[0] and outline[4] == got[4]
