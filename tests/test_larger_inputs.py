@@ -101,3 +101,9 @@ def test_spans_of_one_geometry_are_joined_before_the_sweep(spark):
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
     outline = {a["key"]: a["area"] for a in O.span_area(O.grown_rows(df, h, F.lit(r), interior=False), ["key"], h).collect()}
     assert outline[0] < got[0] and outline[4] == got[4]
+
+
+def test_leaves_are_dealt_over_all_cores(spark):
+    found = L.leaf(shapes(spark, SQUARE, LINE), 16)
+    assert "REPARTITION_BY_NUM" in plan(found)
+    assert math.isclose(L.area_of(found).where("key = 0").first()["area"], 4.0)
