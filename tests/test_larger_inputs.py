@@ -90,7 +90,9 @@ def test_rectangles_meet_where_their_boxes_do(spark):
 
 def test_spans_of_one_geometry_are_joined_before_the_sweep(spark):
     h, r = 0.125, 0.3
-    df = shapes(spark, SQUARE, HOLED, DIAMOND, TWO, LINE, "MULTIPOINT(1 2,3 4)")
+    df = shapes(spark, SQUARE, HOLED, DIAMOND, TWO, LINE, "MULTIPOINT(1 2,3 4)", SQUARE)
+    no_end = G.box(E.lit(0.0), E.lit(0.0), E.lit(None).cast("double"), E.lit(1.0))
+    df = df.withColumn("geom", F.when(F.col("key") == 6, no_end).otherwise(F.col("geom")))
     rows = O.grown_rows(df, h, F.lit(r))
     assert rows.where("key = 0").groupBy("row").count().where("count > 1").count() == 0
     one = O.span_events(O.capsule_spans(O.outline_segments(df), h, F.lit(r)))
