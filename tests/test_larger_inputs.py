@@ -13,6 +13,7 @@ from placespark.functions import relate
 from placespark.operators import locations as L
 from placespark.operators import overlay as O
 from placespark.operators import spatial_join as J
+from placespark.operators import trees
 from placespark.sources import wkt
 
 SQUARE = "POLYGON((0 0,2 0,2 2,0 2,0 0))"
@@ -109,3 +110,15 @@ def test_leaves_are_dealt_over_all_cores(spark):
     found = L.leaf(shapes(spark, SQUARE, LINE), 16)
     assert "REPARTITION_BY_NUM" in plan(found)
     assert math.isclose(L.area_of(found).where("key = 0").first()["area"], 4.0)
+
+
+def test_operator_texts_are_read_without_a_shuffle(spark):
+    texts = ["Distance(SimpleLocation(GeoLocation(3,None),Some(GeoCardinal(W))),10,KM,Some(GeoCardinal(N)))", "7", None, "Union(GeoLocation(1,None), GeoLocation(2 ,None))"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "expr_id int, operators string")
+    nodes = trees.operator_nodes(rows)
+    assert "Exchange" not in plan(nodes) and "Window" not in plan(nodes)
+    assert sorted((tuple(r) for r in nodes.collect()), key=str) == [
+        (0, 0, None, 0, "Distance", 0, None, 10, "KM", "N"), (0, 1, 0, 0, "SimpleLocation", 1, None, None, None, "W"), (0, 2, 1, 0, "GeoLocation", 2, 3, None, None, None),
+        (1, None, None, 0, None, None, None, None, None, None),
+        (3, 0, None, 0, "Union", 0, None, None, None, None), (3, 1, 0, 0, "GeoLocation", 1, 1, None, None, None), (3, 2, 0, 1, "GeoLocation", 1, 2, None, None, None),
+    ]
