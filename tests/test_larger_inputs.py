@@ -14,7 +14,7 @@ from placespark.operators import locations as L
 from placespark.operators import overlay as O
 from placespark.operators import spatial_join as J
 from placespark.operators import trees
-from placespark.sources import wkt
+from placespark.sources import corpus, wkt
 
 SQUARE = "POLYGON((0 0,2 0,2 2,0 2,0 0))"
 HOLED = "POLYGON((0 0,4 0,4 4,0 4,0 0),(1 1,1 3,3 3,3 1,1 1))"
@@ -122,3 +122,14 @@ def test_operator_texts_are_read_without_a_shuffle(spark):
         (1, None, None, 0, None, None, None, None, None, None),
         (3, 0, None, 0, "Union", 0, None, None, None, None), (3, 1, 0, 0, "GeoLocation", 1, 1, None, None, None), (3, 2, 0, 1, "GeoLocation", 1, 2, None, None, None),
     ]
+
+
+def test_keys_of_complete_entities_parse_each_once(spark):
+    link = '<link id="E_1_1" osm="O2 O3" type="way">A</link>'
+    xml = [
+        f'<entity id="E" osm="O1" type="way" status="5"><p>In {link}, <link id="E_1_2">B</link>.</p><p>No link.</p></entity>',
+        f'<entity id="F" status="5"><p>{link.replace("O2", "O4")}</p></entity>', f'<entity id="G" osm="O9" type="way" status="4"><p>{link}</p></entity>', None,
+    ]
+    found = corpus.complete_keys(corpus.parse_corpus(spark.createDataFrame([(x,) for x in xml], "xml string").repartition(2), "xml"))
+    assert plan(found).count("from_xml") == 1
+    assert sorted(map(tuple, found.collect())) == [("", ""), ("O1", "way"), ("O2", "way"), ("O4", "way")]
