@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,9 +14,17 @@ from placespark.functions import exprs as F
 from placespark.functions import geom as G
 
 
+# Corners up to which plain numbers are faster than arrays.
+_FEW = 24
+
+
 def _hull(p: np.ndarray) -> np.ndarray:
     """Corners of the convex hull, counter-clockwise."""
-    p = np.unique(p, axis=0)
+    return np.array(_hull_points(p[:, 0], p[:, 1]))
+
+
+def _hull_points(xs: np.ndarray, ys: np.ndarray) -> list[tuple[float, float]]:
+    p = sorted(set(zip(xs.tolist(), ys.tolist())))
     if len(p) < 3:
         return p
 
@@ -22,35 +32,52 @@ def _hull(p: np.ndarray) -> np.ndarray:
         chain = []
         for q in order:
             while len(chain) > 1:
-                u, v = chain[-1] - chain[-2], q - chain[-1]
-                if u[0] * v[1] - u[1] * v[0] > 0:
+                (ax, ay), (bx, by) = chain[-2], chain[-1]
+                if (bx - ax) * (q[1] - by) - (by - ay) * (q[0] - bx) > 0:
                     break
                 chain.pop()
             chain.append(q)
         return chain[:-1]
 
-    return np.array(half(p) + half(p[::-1]))
+    return half(p) + half(p[::-1])
 
 
-def _tightest_box(p: np.ndarray) -> list[float]:
-    hull = _hull(p)
+def _tightest_box(xs: np.ndarray, ys: np.ndarray) -> list[float]:
+    hull = _hull_points(xs, ys)
     if len(hull) < 3:
         a, b = hull[0], hull[-1]
         return [a[0], a[1], b[0], b[1], b[0], b[1], a[0], a[1]]
+    boxes = _boxes_of_few(hull) if len(hull) <= _FEW else _boxes(np.array(hull))
+    # Take an axis-aligned or earlier side unless another is clearly tighter.
+    limit = min((u1 - u0) * (v1 - v0) for _, _, u0, u1, v0, v1 in boxes) * (1 + 1e-12)
+    x, y, u0, u1, v0, v1 = next(b for b in boxes if (b[3] - b[2]) * (b[5] - b[4]) <= limit)
+    return [float(c) for a, b in ((u0, v0), (u1, v0), (u1, v1), (u0, v1)) for c in (a * x + b * -y, a * y + b * x)]
+
+
+def _boxes_of_few(hull: list[tuple[float, float]]) -> list[tuple]:
+    """For each side its direction (x, y) and the extent of the hull along and across it."""
+    boxes = []
+    for (ax, ay), (bx, by) in zip(hull, hull[1:] + hull[:1]):
+        dx, dy = bx - ax, by - ay
+        size = math.hypot(dx, dy)
+        x, y = dx / size, dy / size
+        u, v = [px * x + py * y for px, py in hull], [px * -y + py * x for px, py in hull]
+        boxes.append((x, y, min(u), max(u), min(v), max(v)))
+    return boxes
+
+
+def _boxes(hull: np.ndarray) -> list[tuple]:
+    """As ``_boxes_of_few``."""
     sides = np.roll(hull, -1, axis=0) - hull
     along = sides / np.hypot(sides[:, 0], sides[:, 1])[:, None]
     across = np.column_stack([-along[:, 1], along[:, 0]])
     u, v = hull @ along.T, hull @ across.T
-    areas = (u.max(0) - u.min(0)) * (v.max(0) - v.min(0))
-    # Take an axis-aligned or earlier side unless another is clearly tighter.
-    k = int(np.flatnonzero(areas <= areas.min() * (1 + 1e-12))[0])
-    corners = [(u[:, k].min(), v[:, k].min()), (u[:, k].max(), v[:, k].min()), (u[:, k].max(), v[:, k].max()), (u[:, k].min(), v[:, k].max())]
-    return [float(c) for a, b in corners for c in a * along[k] + b * across[k]]
+    return list(zip(along[:, 0], along[:, 1], u.min(0), u.max(0), v.min(0), v.max(0)))
 
 
 @PF.pandas_udf(T.ArrayType(T.DoubleType()))
 def _oriented_corners(xs: pd.Series, ys: pd.Series) -> pd.Series:
-    return pd.Series([_tightest_box(np.column_stack([x, y])) for x, y in zip(xs, ys)])
+    return pd.Series([_tightest_box(x, y) for x, y in zip(xs, ys)])
 
 
 def _xs(g: Column) -> Column:

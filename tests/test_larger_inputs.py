@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +134,12 @@ def test_keys_of_complete_entities_parse_each_once(spark):
     found = corpus.complete_keys(corpus.parse_corpus(spark.createDataFrame([(x,) for x in xml], "xml string").repartition(2), "xml"))
     assert plan(found).count("from_xml") == 1
     assert sorted(map(tuple, found.collect())) == [("", ""), ("O1", "way"), ("O2", "way"), ("O4", "way")]
+
+
+def test_tightest_box_of_few_and_of_many_corners():
+    few = [(0.0, 0.0), (3.0, 0.0), (3.0, 2.0), (1.5, 2.0), (1.5, 4.0), (0.0, 4.0), (0.0, 0.0)]
+    assert H._tightest_box(*np.array(few).T) == [0.0, 0.0, 3.0, 0.0, 3.0, 4.0, 0.0, 4.0]
+    turns = np.linspace(0, 2 * np.pi, 40, endpoint=False)
+    hull = H._hull_points(2 * np.cos(turns), np.sin(turns))
+    assert len(hull) > H._FEW
+    assert np.allclose(H._boxes(np.array(hull)), H._boxes_of_few(hull))
