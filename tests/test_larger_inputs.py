@@ -15,6 +15,7 @@ from placespark.operators import locations as L
 from placespark.operators import overlay as O
 from placespark.operators import spatial_join as J
 from placespark.operators import trees
+from placespark.plans.geometry_queries import geom_median
 from placespark.sources import corpus, wkt
 
 SQUARE = "POLYGON((0 0,2 0,2 2,0 2,0 0))"
@@ -143,3 +144,9 @@ def test_tightest_box_of_few_and_of_many_corners():
     hull = H._hull_points(2 * np.cos(turns), np.sin(turns))
     assert len(hull) > H._FEW
     assert np.allclose(H._boxes(np.array(hull)), H._boxes_of_few(hull))
+
+
+def test_medians_are_dealt_over_all_cores(spark, tmp_path):
+    parts = spark.range(8).selectExpr("id AS p_partkey", "cast(id AS int) AS p_size")
+    parts.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert geom_median(spark, str(tmp_path)).rdd.getNumPartitions() >= 8
