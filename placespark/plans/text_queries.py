@@ -10,7 +10,7 @@ from placespark.functions import lexicon as L
 from placespark.functions import text as T
 from placespark.operators import relations as R
 from placespark.operators import trees
-from placespark.operators.layout import running_total, spread
+from placespark.operators.layout import running_total, spread, stored
 from placespark.operators.sentences import leading_sentences
 from placespark.plans.catalog import query, rounded
 from placespark.sources import corpus
@@ -316,11 +316,11 @@ _SUCCESS = (
 
 
 def _parsed(spark, d):
-    """Per sentence: does it mention a shape, does it give a tree, is the tree definite?
+    """Per sentence: does it mention a shape, does it give a tree, is the tree definite, and which tree is it?
 
     A sentence of several relations is an intersection, which is definite."""
-    known = _sentences(spark, d).withColumn("known", R.known_text(F.col("sentence")))
-    found = known.select("entity_id", "place_id", "sentence", R.matches(R.E.col("known")).alias("m"))
+    known = _sentences(spark, d).withColumn("known", R.known_text(R.E.col("sentence")))
+    found = known.select("entity_id", "place_id", "sentence", "known", R.matches(R.E.col("known")).alias("m"))
     first = F.get("m", F.lit(0))
     own = F.get(first["own_cardinals"], F.lit(0))
     return found.select(
@@ -330,14 +330,15 @@ def _parsed(spark, d):
         F.contains("sentence", F.lit("SHP")).alias("with_shape"),
         (F.size("m") > 0).alias("success"),
         F.coalesce((F.size("m") > 1) | R.is_defined(first["relation"], first["side"], own), F.lit(False)).alias("defined"),
+        R.nested(R.E.col("known"), R.E.col("m")).alias("operators"),
     )
 
 
 _ENTITY_COUNTS = "counts AS (SELECT entity_id, count(*) AS sentences, count_if(with_shape) AS with_shape, count_if(success) AS success, count_if(defined) AS defined FROM told GROUP BY ALL)"
 
 
-def _entity_counts(spark, d):
-    return _parsed(spark, d).groupBy("entity_id").agg(
+def _entity_counts(parsed):
+    return parsed.groupBy("entity_id").agg(
         F.count(F.lit(1)).alias("sentences"),
         *[F.count_if(F.col(c)).alias(c) for c in ("with_shape", "success", "defined")],
     )
@@ -346,12 +347,12 @@ def _entity_counts(spark, d):
 @query("qualifying_entities", X.with_sql("links")[:-1] + f", {_SUCCESS}, {_ENTITY_COUNTS} SELECT entity_id, CAST(success AS BIGINT) AS success, CAST(defined AS BIGINT) AS defined FROM counts WHERE defined > 0 OR success > 1")
 def qualifying_entities(spark, d):
     """Entities with a definite tree or with more than one tree."""
-    return _entity_counts(spark, d).where("defined > 0 OR success > 1").select("entity_id", "success", "defined")
+    return _entity_counts(_parsed(spark, d)).where("defined > 0 OR success > 1").select("entity_id", "success", "defined")
 
 
 @query("extraction_summary", X.with_sql("links")[:-1] + f", {_SUCCESS}, {_ENTITY_COUNTS} SELECT count(*) AS entities, CAST(sum(with_shape) AS BIGINT) AS with_shape, CAST(sum(success) AS BIGINT) AS success, CAST(sum(defined) AS BIGINT) AS defined, CAST(count_if(defined > 0 OR success > 1) AS BIGINT) AS parsed FROM counts")
 def extraction_summary(spark, d):
-    return _entity_counts(spark, d).agg(
+    return _entity_counts(_parsed(spark, d)).agg(
         F.count(F.lit(1)).alias("entities"),
         *[F.sum(c).alias(c) for c in ("with_shape", "success", "defined")],
         F.count_if(F.expr("defined > 0 OR success > 1")).alias("parsed"),
@@ -367,19 +368,18 @@ def extraction_summary(spark, d):
 def extraction_report(spark, d):
     """Report lines per entity: a count, then its trees, or its sentences when none gives a tree.
 
-    Lines stay rows with an order, so no entity's report is gathered in one place."""
-    counts = _entity_counts(spark, d)
+    Sentences are parsed once and stored. Lines stay rows with an order, so no entity's report is gathered in one place."""
+    line = F.coalesce("operators", "sentence").alias("line")
+    parsed = stored(_parsed(spark, d).select("entity_id", F.col("place_id").alias("line_no"), "with_shape", "success", "defined", line), "parsed")
+    counts = _entity_counts(parsed)
     heads = counts.select(
         "entity_id",
         F.lit(-1).cast("bigint").alias("line_no"),
         F.concat("success", F.lit(" success from "), "with_shape", F.lit(" with shapes")).alias("line"),
     )
-    sentences = _sentences(spark, d)
-    trees_ = R.compose(sentences).select("entity_id", F.col("place_id").alias("line_no"), F.col("operators").alias("line"))
-    failed = sentences.join(counts.where("success = 0").select("entity_id"), "entity_id", "left_semi")
-    return heads.unionByName(trees_).unionByName(
-        failed.select("entity_id", F.col("place_id").alias("line_no"), F.col("sentence").alias("line"))
-    )
+    failed = parsed.join(counts.where("success = 0").select("entity_id"), "entity_id", "left_semi")
+    lines = parsed.where("success").unionByName(failed)
+    return heads.unionByName(lines.select("entity_id", "line_no", "line"))
 
 
 _LEX = "(VALUES " + ", ".join(f"('{p}', '{k}', '{v}')" for p, k, v in L.entries()) + ") lex(phrase, kind, value)"

@@ -11,11 +11,14 @@ from placespark.functions import exprs as E
 from placespark.functions import geom as G
 from placespark.functions import hull as H
 from placespark.functions import relate
+from placespark.functions import text as T
 from placespark.operators import locations as L
 from placespark.operators import overlay as O
+from placespark.operators import relations
 from placespark.operators import spatial_join as J
 from placespark.operators import trees
 from placespark.plans.geometry_queries import geom_median
+from placespark.plans.text_queries import extraction_report
 from placespark.sources import corpus, wkt
 
 SQUARE = "POLYGON((0 0,2 0,2 2,0 2,0 0))"
@@ -150,3 +153,26 @@ def test_medians_are_dealt_over_all_cores(spark, tmp_path):
     parts = spark.range(8).selectExpr("id AS p_partkey", "cast(id AS int) AS p_size")
     parts.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     assert geom_median(spark, str(tmp_path)).rdd.getNumPartitions() >= 8
+
+
+ODD_TEXTS = [
+    "It borders SHP1 to the north, SHP2 on north - east and SHP3.", "10 km\n(SHP4),( SHP5 ;x_ é SHP SHP6a 12é", ", \u0085in SHP7,\u0085", "-\t(\x00SHP8 K", "", None,
+]
+
+
+def test_known_text_is_the_known_tokens(spark):
+    rows = spark.createDataFrame([(t,) for t in ODD_TEXTS], "sentence string")
+    got = rows.select(relations.known_text(E.col("sentence")).alias("a"), F.array_join(T.filter_tokens(T.tokenize(F.col("sentence"))), " ").alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got]
+    assert got[0]["a"] == "borders SHP 1 to the north , SHP 2 on north - east and SHP 3"
+
+
+def test_groups_of_a_phrase_take_one_pass():
+    """One regex for each phrase, one more for the items of a list; none for each group."""
+    lists = sum(p.clause != p.item for p in relations.PATTERNS)
+    assert relations.matches(E.col("known")).text.lower().count("regexp_") == len(relations.PATTERNS) + lists
+
+
+def test_report_parses_sentences_once(spark):
+    report = extraction_report(spark, "/root/testdata/sf0.001")
+    assert "regexp_" not in plan(report) and "RLIKE" not in plan(report)
