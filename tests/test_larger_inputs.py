@@ -8,10 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from placespark.functions import exprs as E
+from placespark.functions import geodesy as D
 from placespark.functions import geom as G
 from placespark.functions import hull as H
 from placespark.functions import relate
 from placespark.functions import text as T
+from placespark.operators import layout
 from placespark.operators import locations as L
 from placespark.operators import overlay as O
 from placespark.operators import relations
@@ -176,3 +178,17 @@ def test_groups_of_a_phrase_take_one_pass():
 def test_report_parses_sentences_once(spark):
     report = extraction_report(spark, "/root/testdata/sf0.001")
     assert "regexp_" not in plan(report) and "RLIKE" not in plan(report)
+
+
+def test_spread_stays_above_a_distinct(spark):
+    rows = spark.range(100).selectExpr("id % 10 AS a", "id % 3 AS b").distinct()
+    dealt = layout.spread(rows, "a", "b")
+    assert "REPARTITION_BY_NUM" in plan(dealt)
+    assert dealt.count() == 30
+
+
+def test_between_takes_known_centres(spark):
+    a, b = E.col("a.geom"), E.col("b.geom")
+    pair = shapes(spark, SQUARE).alias("a").join(shapes(spark, DIAMOND).alias("b"), "key")
+    row = pair.select(D.between(a, b).alias("found"), D.between(a, b, G.centroid(a), G.centroid(b)).alias("given")).first()
+    assert row["found"] == row["given"]
