@@ -90,3 +90,22 @@ def test_merge_is_the_sorted_order():
 
 def test_empty(docs):
     assert s.digest(docs([])).count() == 0 and s.clean(docs([])).count() == 0
+
+
+def test_merge_by_longer_strides_is_the_same():
+    r = np.random.default_rng(3)
+    texts = [[bytes(r.integers(97, 99, r.integers(1, 90)).astype(np.uint8)) for _ in range(12)] for _ in range(3)]
+    shards = [s.Shard(np.append(0, np.cumsum([len(t) for t in part])), np.frombuffer(b"".join(part), np.uint8)) for part in texts]
+    of, common = s.merge(shards, s.LENGTH)
+    again, rounded = s.merge(shards, s.LENGTH, s.STRIDE)
+    assert (of == again).all() and ((common == s.LENGTH) == (rounded == s.LENGTH)).all()
+    with pytest.raises(ValueError):
+        s.merge(shards, s.LENGTH + 1, s.STRIDE)
+
+
+def test_short_phrases_bring_no_documents_together(docs):
+    r = random.Random(4)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    phrases = [letters(20) for _ in range(20)]
+    df = docs([(i, "".join(p + letters(40) for p in phrases)) for i in range(10)])
+    assert s._repeating(s._cut(df, 4), 4).count() == 0
