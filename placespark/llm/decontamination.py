@@ -72,8 +72,10 @@ def _placeholder(word: Column) -> Column:
 
 
 def _collapsed(words: Column) -> Column:
-    """A template with one placeholder for several equal ones in a row."""
-    return F.regexp_replace(words, rf"(?<!\S)([{NUMBER}{NAME}{UNIT}])(?:\s+\1)+(?!\S)", "$1")
+    """A template with one placeholder for several equal ones in a row.
+
+    The group is possessive: Java goes through it in a loop then, and otherwise one call deeper for each word of the row."""
+    return F.regexp_replace(words, rf"(?<!\S)([{NUMBER}{NAME}{UNIT}])(?:\s+\1(?!\S))++", "$1")
 
 
 def _let(value: Column, body) -> Column:

@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from placespark.llm import decontamination as d
 
 NAMES = r"[A-ZÄÖÜ][a-zäöüß]+"
@@ -136,3 +138,16 @@ def test_slots_of_runs(docs, spark):
         (5, "Anna 5 Berta 6 Carla 7 Dora 8 " + item.split("old")[0]),
     ]
     assert {doc for doc, _ in leaking(docs, spark, rows, [(1, item)])} == {0, 1, 2, 3}
+
+
+def test_long_runs_of_placeholders(docs, spark):
+    names, numbers = " ".join(["Anna", "Berta"] * 30_000), " ".join(map(str, range(60_000)))
+    units = "7 " + "km " * 60_000
+    rows = [(i, f"{t} {ITEMS[1][1]} {t}") for i, t in enumerate((names, numbers, units))] + [(3, f"{names} {numbers}")]
+    assert set(leaking(docs, spark, rows, ITEMS[1:2])) == {(0, 2), (1, 2), (2, 2)}
+
+
+def test_collapsed_templates(spark):
+    texts = {"# # # a @ @ b": "# a @ b", "# @ @ #": "# @ #", "#\n #\t#": "#", "~ ~ a": "~ a", "a # b #": "a # b #", "# #x # #": "# #x #", "# # #x": "# #x", "": ""}
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", d._collapsed(F.col("t"))).collect()
+    assert dict(map(tuple, got)) == texts
