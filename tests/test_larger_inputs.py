@@ -96,6 +96,18 @@ def test_rectangles_meet_where_their_boxes_do(spark):
     assert got.columns == ["key", "geom", "other_key", "other"]
 
 
+def test_joins_without_outlines_in_their_condition(spark):
+    boxes = shapes(spark, SQUARE, HOLED, DIAMOND, "POLYGON((1 1,3 1,3 3,1 3,1 1))")
+    points = spark.createDataFrame([(0, 1.5, 1.5), (1, 2.0, 1.5), (2, 3.5, 1.0), (3, 4.0, 1.5)], "p int, x double, y double")
+    met = J.intersects_join(boxes, boxes.select(F.col("key").alias("o"), F.col("geom").alias("other")), 4.0)
+    inside = J.contains_join(points, boxes, 4.0)
+    for df in (met, inside):
+        lines = [line for line in plan(df).splitlines() if "Join" in line and "_salt" in line]
+        assert lines and all("SortMergeJoin" in line for line in lines) and any("lambda" not in line for line in lines)
+    assert sorted(map(tuple, met.select("key", "o").collect())) == [(a, b) for a in range(4) for b in range(4) if (a, b) not in ((0, 2), (2, 0))]
+    assert sorted(map(tuple, inside.select("p", "key").collect())) == [(0, 0), (0, 3), (1, 3), (2, 1), (2, 2), (3, 2)]
+
+
 def test_spans_of_one_geometry_are_joined_before_the_sweep(spark):
     h, r = 0.125, 0.3
     df = shapes(spark, SQUARE, HOLED, DIAMOND, TWO, LINE, "MULTIPOINT(1 2,3 4)", SQUARE)
