@@ -155,21 +155,53 @@ def _segments(g: Column) -> Column:
     return F.flatten(F.transform(G.lines(g), G.segments))
 
 
-def _to_outline(p: Column, g: Column) -> Column:
-    """Distance of a point to the lines or points of g."""
-    to_lines = F.array_min(F.transform(_segments(g), lambda s: G.closest_on_segment(s, p)["d"]))
-    return F.coalesce(to_lines, F.array_min(F.transform(G.points(g), lambda q: G.distance_points(p, q))))
+def _steps(g: Column) -> Column:
+    """Segments of g with what does not depend on a point next to them."""
+
+    def step(s):
+        dx, dy = s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"]
+        return F.struct(
+            s["a"]["x"].alias("x"), s["a"]["y"].alias("y"), dx.alias("dx"), dy.alias("dy"), F.nullif(dx * dx + dy * dy, F.lit(0.0)).alias("n")
+        )
+
+    return F.transform(_segments(g), step)
+
+
+def _to_step(s: Column, p: Column) -> Column:
+    """Distance of a point to a segment, as that of ``G.closest_on_segment``."""
+    t = F.least(F.greatest(F.coalesce(((p["x"] - s["x"]) * s["dx"] + (p["y"] - s["y"]) * s["dy"]) / s["n"], F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    return F.let(t, lambda t: F.hypot(s["x"] + t * s["dx"] - p["x"], s["y"] + t * s["dy"] - p["y"]))
+
+
+def _to_outline(p: Column, steps: Column, points: Column) -> Column:
+    """Distance of a point to the lines or points of a geometry."""
+    to_lines = F.array_min(F.transform(steps, lambda s: _to_step(s, p)))
+    return F.coalesce(to_lines, F.array_min(F.transform(points, lambda q: G.distance_points(p, q))))
+
+
+def _to_outlines(a: Column, b: Column, pick) -> Column:
+    """pick(distances of a's points to b, those of b's to a); points and segments are taken once for each pair."""
+    both = F.struct(G.points(a).alias("p"), _steps(a).alias("s"), G.points(b).alias("q"), _steps(b).alias("t"))
+    return F.let(
+        both,
+        lambda k: pick(
+            F.transform(k["p"], lambda p: _to_outline(p, k["t"], k["q"])), F.transform(k["q"], lambda q: _to_outline(q, k["s"], k["p"]))
+        ),
+    )
 
 
 def _edges_cross(a: Column, b: Column) -> Column:
     def side(s, p):
         return (s["b"]["x"] - s["a"]["x"]) * (p["y"] - s["a"]["y"]) - (s["b"]["y"] - s["a"]["y"]) * (p["x"] - s["a"]["x"])
 
-    return F.exists(
-        _segments(a),
-        lambda s: F.exists(
-            _segments(b),
-            lambda t: (side(s, t["a"]) * side(s, t["b"]) < 0) & (side(t, s["a"]) * side(t, s["b"]) < 0),
+    return F.let(
+        F.struct(_segments(a).alias("a"), _segments(b).alias("b")),
+        lambda k: F.exists(
+            k["a"],
+            lambda s: F.exists(
+                k["b"],
+                lambda t: (side(s, t["a"]) * side(s, t["b"]) < 0) & (side(t, s["a"]) * side(t, s["b"]) < 0),
+            ),
         ),
     )
 
@@ -185,10 +217,7 @@ def _boxes_meet(a: Column, b: Column) -> Column:
 
 
 def _outline_distance(a: Column, b: Column) -> Column:
-    return F.least(
-        F.array_min(F.transform(G.points(a), lambda p: _to_outline(p, b))),
-        F.array_min(F.transform(G.points(b), lambda p: _to_outline(p, a))),
-    )
+    return _to_outlines(a, b, lambda x, y: F.least(F.array_min(x), F.array_min(y)))
 
 
 def _overlap_surely(a: Column, b: Column) -> Column:
@@ -218,10 +247,7 @@ def max_distance(a: Column, b: Column) -> Column:
 
 def hausdorff_distance(a: Column, b: Column) -> Column:
     """Largest distance of a corner of one geometry to the outline of the other, both ways."""
-    return F.greatest(
-        F.array_max(F.transform(G.points(a), lambda p: _to_outline(p, b))),
-        F.array_max(F.transform(G.points(b), lambda p: _to_outline(p, a))),
-    )
+    return _to_outlines(a, b, lambda x, y: F.greatest(F.array_max(x), F.array_max(y)))
 
 
 def simplify_grid(g: Column, segments: int = 2) -> Column:

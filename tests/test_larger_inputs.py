@@ -108,6 +108,37 @@ def test_joins_without_outlines_in_their_condition(spark):
     assert sorted(map(tuple, inside.select("p", "key").collect())) == [(0, 0), (0, 3), (1, 3), (2, 1), (2, 2), (3, 2)]
 
 
+def test_distances_take_segments_once_for_each_pair(spark):
+    a, b = E.col("a"), E.col("b")
+    text = H.hausdorff_distance(a, b).text
+    assert text.rindex("zip_with") < text.index("hypot")  # segments are not taken again for each point
+    line, spots = [(0.0, 5.0), (3.0, 6.5), (3.0, 6.5), (4.0, 9.0)], [(1.0, 2.0), (3.0, 4.0)]
+    square = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0), (0.0, 0.0)]
+    texts = ["LINESTRING(0 5,3 6.5,3 6.5,4 9)", "MULTIPOINT(1 2,3 4)", SQUARE, "MULTIPOINT(1 1,3 4)"]
+    corners, lines = [line, spots, square, [(1.0, 1.0), (3.0, 4.0)]], [line, None, square, None]
+
+    def to(p, i):
+        if lines[i] is None:
+            return min(math.dist(p, q) for q in corners[i])
+        away = []
+        for (ax, ay), (bx, by) in zip(lines[i], lines[i][1:], strict=False):
+            n = (bx - ax) ** 2 + (by - ay) ** 2
+            t = min(1.0, max(0.0, ((p[0] - ax) * (bx - ax) + (p[1] - ay) * (by - ay)) / n)) if n else 0.0
+            away.append(math.dist(p, (ax + t * (bx - ax), ay + t * (by - ay))))
+        return min(away)
+
+    df = shapes(spark, *texts)
+    pairs = df.select(F.col("key").alias("i"), F.col("geom").alias("a")).crossJoin(df.select(F.col("key").alias("j"), F.col("geom").alias("b")))
+    got = pairs.select("i", "j", H.distance(a, b).alias("d"), H.hausdorff_distance(a, b).alias("h")).collect()
+    assert len(got) == 16
+    for r in got:
+        there, back = ([to(p, k) for p in corners[m]] for m, k in ((r["i"], r["j"]), (r["j"], r["i"])))
+        inside = {r["i"], r["j"]} == {2, 3}  # the first of the points lies in the square
+        assert math.isclose(r["d"], 0.0 if inside else min(there + back)) and math.isclose(r["h"], max(there + back))
+    none = shapes(spark, SQUARE).select(E.col("geom").alias("a"), F.lit(None).cast(df.schema["geom"].dataType).alias("b"))
+    assert none.select(H.distance(a, b).alias("d"), H.hausdorff_distance(a, b).alias("h")).first() == (None, None)
+
+
 def test_spans_of_one_geometry_are_joined_before_the_sweep(spark):
     h, r = 0.125, 0.3
     df = shapes(spark, SQUARE, HOLED, DIAMOND, TWO, LINE, "MULTIPOINT(1 2,3 4)", SQUARE)
