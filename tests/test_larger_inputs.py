@@ -13,6 +13,7 @@ from placespark.functions import geom as G
 from placespark.functions import hull as H
 from placespark.functions import relate
 from placespark.functions import text as T
+from placespark.operators import baselines as B
 from placespark.operators import layout
 from placespark.operators import locations as L
 from placespark.operators import overlay as O
@@ -139,6 +140,18 @@ def test_distances_take_segments_once_for_each_pair(spark):
     assert none.select(H.distance(a, b).alias("d"), H.hausdorff_distance(a, b).alias("h")).first() == (None, None)
 
 
+def test_baselines_of_one_method(spark):
+    places = shapes(spark, SQUARE, "POLYGON((1 1,3 1,3 3,1 3,1 1))").withColumnRenamed("key", "place")
+    members = spark.createDataFrame([(1, 0), (1, 1), (2, 1)], "entity int, place int")
+    gold = places.select((F.col("place") + 1).alias("entity"), F.col("geom").alias("gold"))
+    order = ["entity", "method"]
+    every = B.method_areas(gold, members, places, "entity", "place").orderBy(order).collect()
+    assert len(every) == 8
+    for method in B.METHODS:
+        one = B.method_areas(gold, members, places, "entity", "place", (method,)).orderBy(order).collect()
+        assert one == [r for r in every if r["method"] == method]
+
+
 def test_spans_of_one_geometry_are_joined_before_the_sweep(spark):
     h, r = 0.125, 0.3
     df = shapes(spark, SQUARE, HOLED, DIAMOND, TWO, LINE, "MULTIPOINT(1 2,3 4)", SQUARE)
