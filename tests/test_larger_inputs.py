@@ -17,7 +17,9 @@ from placespark.operators import baselines as B
 from placespark.operators import layout
 from placespark.operators import locations as L
 from placespark.operators import overlay as O
+from placespark.operators import regions as R
 from placespark.operators import relations
+from placespark.operators import resolve
 from placespark.operators import spatial_join as J
 from placespark.operators import trees
 from placespark.plans.geometry_queries import geom_median
@@ -152,6 +154,17 @@ def test_baselines_of_one_method(spark):
         assert one == [r for r in every if r["method"] == method]
 
 
+def test_only_nodes_that_need_them_get_sums_of_their_arguments(spark, monkeypatch):
+    seen, summary = [], resolve.summary
+    monkeypatch.setattr(resolve, "summary", lambda rows: seen.append(rows.select("key").distinct().count()) or summary(rows))
+    told = [("a", "SubLocation(GeoLocation(0,None))"), ("b", "Intersection(SimpleLocation(GeoLocation(0,None),None),GeoLocation(1,None))")]
+    nodes = trees.operator_nodes(spark.createDataFrame(told, "expr_id string, operators string"))
+    places = shapes(spark, SQUARE, "POLYGON((1 1,3 1,3 3,1 3,1 1))").select(F.col("key").cast("string").alias("shp_id"), "geom")
+    found, _ = resolve.regions(nodes, places)
+    areas = {r["expr_id"]: r["area"] for r in R.areas(found, ["expr_id"]).collect()}
+    assert areas == {"a": 4.0, "b": 1.0} and not any(seen)
+
+
 def test_spans_of_one_geometry_are_joined_before_the_sweep(spark):
     h, r = 0.125, 0.3
     df = shapes(spark, SQUARE, HOLED, DIAMOND, TWO, LINE, "MULTIPOINT(1 2,3 4)", SQUARE)
